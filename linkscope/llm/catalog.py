@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkscope.llm import packing, quality, simhash
+from linkscope.llm import bpe, packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.query,
+        "op3_bpe": bpe.query,
         "op5_simhash": simhash.query,
         "op7_packing": packing.query,
     }
