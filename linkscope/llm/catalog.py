@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkscope.llm import bpe, packing, quality, simhash
+from linkscope.llm import bpe, language, packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": bpe.query,
         "op5_simhash": simhash.query,
         "op7_packing": packing.query,
+        "op8_language_id": language.query,
     }
 
 
