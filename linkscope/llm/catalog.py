@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkscope.llm import bpe, language, packing, quality, simhash
+from linkscope.llm import bpe, extraction, language, packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": simhash.query,
         "op7_packing": packing.query,
         "op8_language_id": language.query,
+        "op9_html_extraction": extraction.query,
     }
 
 
