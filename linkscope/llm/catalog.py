@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkscope.llm import bpe, extraction, language, packing, quality, simhash
+from linkscope.llm import bpe, extraction, language, neighbours, packing, quality, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.query,
         "op3_bpe": bpe.query,
+        "op4_warc": warc.query,
         "op5_simhash": simhash.query,
         "op7_packing": packing.query,
         "op8_language_id": language.query,
         "op9_html_extraction": extraction.query,
+        "op10_vantage_neighbours": neighbours.query,
     }
 
 
