@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkscope.llm import bpe, extraction, language, neighbours, packing, quality, simhash, warc
+from linkscope.llm import bpe, chat, extraction, language, neighbours, packing, quality, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.query,
+        "op2_chat": chat.query,
         "op3_bpe": bpe.query,
         "op4_warc": warc.query,
         "op5_simhash": simhash.query,
+        "op6_sharding": sharding.query,
         "op7_packing": packing.query,
         "op8_language_id": language.query,
         "op9_html_extraction": extraction.query,
