@@ -4,7 +4,8 @@ Fingerprints are made in Arrow batches, equal ones are folded into one, and cand
 k bits, a pair within k bits has a segment from which every chain of l consecutive segments (round the ring) differs in at most
 floor(l * k / m) bits. With m = 5 and k = 4 the first segment of such a chain is equal and the second differs in at most one bit, so
 each fingerprint is filed under its own first two segments and under the variants of the second with one bit turned: 75 short rows a
-fingerprint, with keys of 26 bits. Rows of a key meet in sorted runs; longer chains prune the pairs of a run before the full check.
+fingerprint, with keys of 26 bits. Rows of a key meet in sorted runs; longer chains prune the pairs of a run before the full check, and of the
+pairs that pass it, a batch hands on a forest that joins the same fingerprints.
 
 A run of more than ``run_limit`` rows would be a block of all pairs. Its fingerprints go another, equally exact way: any two of them
 within 4 bits share a point within 2 bits of both, so each is filed under its 2,081 points within 2 bits, and the members of a point,
@@ -34,6 +35,8 @@ SEED = 42
 BITS = 64
 #: Shingles hashed at a time, so that a text of any length takes bounded memory besides itself.
 BLOCK = 1 << 16
+#: Pairs of a batch that are held before they shrink to a forest.
+PAIRS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -154,6 +157,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield keys, prints, False
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the pairs (a, b) join, each fingerprint to the smallest it reaches: fewer than there are fingerprints."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = places[: len(a)], places[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[u] != label[v]).any():
+        np.minimum.at(label, np.maximum(label[u], label[v]), np.minimum(label[u], label[v]))
+        while (label[label] != label).any():
+            label = label[label]
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[own]], nodes[own]
+
+
+def _emit(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if a:
+        roots, members = forest(np.concatenate(a), np.concatenate(b))
+        yield from _batches(LINKED, roots.view(np.int64), members.view(np.int64), np.zeros(len(roots), dtype=bool))
+
+
 def _pairs_of_runs(rules: SimHashRules):
     masks = chain_masks(rules)
 
@@ -166,6 +188,8 @@ def _pairs_of_runs(rules: SimHashRules):
             yield from _batches(LINKED, hot.view(np.int64), hot.view(np.int64), np.ones(len(hot), dtype=bool))
             left = np.repeat(first + sizes, sizes) - np.arange(len(keys))  # rows of the run from here on
             at = np.flatnonzero((left > 1) & ~long)
+            some_a: list[np.ndarray] = []
+            some_b: list[np.ndarray] = []
             for d in range(1, rules.run_limit):
                 at = at[left[at] > d]
                 if not len(at):
@@ -173,18 +197,22 @@ def _pairs_of_runs(rules: SimHashRules):
                 a, b = prints[at], prints[at + d]
                 ok = a != b
                 ok[ok] = _near(a[ok], b[ok], rules, masks)
-                yield from _batches(LINKED, a[ok].view(np.int64), b[ok].view(np.int64), np.zeros(int(ok.sum()), dtype=bool))
+                some_a.append(a[ok])
+                some_b.append(b[ok])
+                if sum(map(len, some_a)) > PAIRS:  # those so far shrink to a forest
+                    roots, members = forest(np.concatenate(some_a), np.concatenate(some_b))
+                    some_a, some_b = [roots], [members]
+            yield from _emit(some_a, some_b)
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links the members of each point to its first; of the many points that two fingerprints share, a batch gives each link once."""
+    """Links the members of each point to its first; a batch hands on a forest."""
     for keys, prints, _ in _runs(batches):
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         head = np.repeat(prints[first], np.diff(np.r_[first, len(keys)]))
-        links = np.unique(np.stack([head[head != prints], prints[head != prints]]), axis=1)
-        yield from _batches(LINKED, links[0].view(np.int64), links[1].view(np.int64), np.zeros(links.shape[1], dtype=bool))
+        yield from _emit([head[head != prints]], [prints[head != prints]])
 
 
 def links(prints: DataFrame, rules: SimHashRules) -> DataFrame:
