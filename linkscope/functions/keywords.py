@@ -6,6 +6,7 @@ import html
 import math
 import re
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import regex
 
@@ -97,6 +98,7 @@ def keyword_body(keyword: str) -> str:
     return "".join(map(spelt, keyword))
 
 
+@lru_cache(maxsize=1 << 14)
 def keyword_pattern(keyword: str) -> regex.Pattern:
     """Whole words, any case; a guard stands only beside a word character."""
     word = regex.compile(f"[{WORD}]")

@@ -33,7 +33,11 @@ def priority(score: Column) -> Column:
 
 def compute(links: DataFrame, posts: DataFrame, cfg: EngineConfig) -> DataFrame:
     """A row for each post in scope, and for published posts of excluded categories that a link touches."""
-    counts = posts.where(published_type(cfg)).join(inbound(links), F.col("id") == F.col("post_id"), "left").drop("post_id").join(outbound(links), F.col("id") == F.col("post_id"), "left").drop("post_id")
+    return figures(inbound(links), outbound(links), posts, cfg)
+
+
+def figures(inbound_counts: DataFrame, outbound_counts: DataFrame, posts: DataFrame, cfg: EngineConfig) -> DataFrame:
+    counts = posts.where(published_type(cfg)).join(inbound_counts, F.col("id") == F.col("post_id"), "left").drop("post_id").join(outbound_counts, F.col("id") == F.col("post_id"), "left").drop("post_id")
     kept = counts.where(~excluded(cfg) | F.col("inbound_count").isNotNull() | F.col("outbound_count").isNotNull())
     filled = kept.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("inbound_count", "outbound_count")})
     return filled.select(F.col("id").alias("post_id"), "inbound_count", "outbound_count", orphan_score(cfg).alias("orphan_score"))

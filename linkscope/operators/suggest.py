@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkscope.config import EngineConfig
-from linkscope.functions.keywords import keyword_pattern, title_keywords, tokenise, top_terms, topic_phrases, trim_trailing_punctuation
+from linkscope.functions.keywords import APOSTROPHES, keyword_pattern, title_keywords, tokenise, top_terms, topic_phrases, trim_trailing_punctuation
 from linkscope.functions.linker import insert, keyword_context, matchable_text
 
 #: The most targets that a task may hold; more exclusions than this need the windowed pool of functions.text.target_pool.
 MAX_HELD = 20_000
 
 
+MANY_SPELLINGS = frozenset("&" + APOSTROPHES)
+
+
 @dataclass
 class Post:
     id: int
@@ -65,6 +68,7 @@ def candidates(source: Post, targets: list[Post], cfg: EngineConfig) -> list[dic
     n, df = len(words), Counter(t for w in words.values() for t in set(w))
     own, common = set(words[source.id]), max(1, math.ceil(n / 2))
     text, probes, found = matchable_text(source.content, cfg.shortcodes), 0, []
+    lower = text.lower()
     for target in targets:
         counts, matches = Counter(words[target.id]), 0
         shared = {t for t in own.intersection(counts) if df[t] <= common}
@@ -73,7 +77,8 @@ def candidates(source: Post, targets: list[Post], cfg: EngineConfig) -> list[dic
         for phrase in phrases:
             first.setdefault(phrase.lower(), phrase)
         for keyword in list(first.values())[: cfg.phrases_per_target]:
-            if not keyword_pattern(keyword).search(text):
+            # Most phrases are nowhere in the text; only one with a character of many spellings needs its pattern to know.
+            if not MANY_SPELLINGS.intersection(keyword) and keyword.lower() not in lower or not keyword_pattern(keyword).search(text):
                 continue
             if " " not in keyword and not shared - {keyword.lower()}:
                 continue

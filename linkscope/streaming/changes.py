@@ -27,10 +27,10 @@ def recount(links: DataFrame, old_links: DataFrame, old_stats: DataFrame, change
     """Figures after a change: those of the changed posts and of their old and new targets are counted anew, the rest is kept."""
     ids = changed.select(F.col("post_id").alias("source_post_id")).distinct()
     touched = affected(links.join(ids, "source_post_id", "left_semi").unionByName(old_links.join(ids, "source_post_id", "left_semi")), old_stats.limit(0)).unionByName(changed.select("post_id")).distinct()
-    near = links.join(touched.select(F.col("post_id").alias("source_post_id")), "source_post_id", "left_semi").unionByName(
-        links.join(touched.select(F.col("post_id").alias("target_post_id")), "target_post_id", "left_semi").select(*links.columns)
-    ).dropDuplicates(["source_post_id", "pos"])
-    anew = stats.compute(near, posts.join(touched.select(F.col("post_id").alias("id")), "id", "left_semi"), cfg)
+    leaving = links.join(touched.select(F.col("post_id").alias("source_post_id")), "source_post_id", "left_semi")
+    arriving = links.join(touched.select(F.col("post_id").alias("target_post_id")), "target_post_id", "left_semi")
+    near = posts.join(touched.select(F.col("post_id").alias("id")), "id", "left_semi")
+    anew = stats.figures(stats.inbound(arriving), stats.outbound(leaving), near, cfg)
     return old_stats.join(touched, "post_id", "left_anti").unionByName(anew)
 
 
