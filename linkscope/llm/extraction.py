@@ -76,7 +76,7 @@ class Run:
 
 @dataclass
 class Page:
-    tokens: list[str]
+    tokens: list[str | Run]  # tags and text runs in page order
     runs: list[Run]
     has_main: bool
 
@@ -101,7 +101,7 @@ def _element(name: str, attrs: str) -> tuple[str, bool, bool]:
 
 def parse(html: str) -> Page:
     """Tokens and kept blocks of a page. Unclosed elements end with the page; stray end tags are ignored."""
-    tokens: list[str] = []
+    tokens: list[str | Run] = []
     runs: list[Run] = []
     stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # name, path, junk, main, header outside headings
     run: Run | None = None
@@ -117,6 +117,7 @@ def parse(html: str) -> Page:
                     continue
                 run = Run(path, main)
                 runs.append(run)
+                tokens.append(run)
             run.parts.append(text)
             run.linked += len(text.strip()) * (links > 0)
             continue
@@ -176,7 +177,7 @@ def deduce(pages: list[Page], rules: ExtractionRules) -> list[TemplateClass]:
     """The valid classes of a group's pages, outermost first, each with the class in a gap of which it lies."""
     if len(pages) < 2:
         return []
-    sequences = [[*p.tokens, *(f"{r.path}\n{r.text()}" for r in p.runs)] for p in pages]
+    sequences = [[t if isinstance(t, str) else f"{t.path}\n{t.text()}" for t in p.tokens] for p in pages]
     counts = [Counter(s) for s in sequences]
     seen: dict[str, int] = Counter(t for c in counts for t in c)
     least = max(2, rules.min_support * len(pages))
