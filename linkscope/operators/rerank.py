@@ -19,7 +19,7 @@ def scores(replies: DataFrame) -> DataFrame:
     obj = F.regexp_extract("reply", r"(?s)\{[^{}]*\}", 0)
     parsed = replies.select("source", "n", F.from_json(obj, "map<string,string>").alias("map"))
     one = parsed.select("source", "n", F.explode("map").alias("number", "value"))
-    score = F.expr("cast(least(100D, greatest(0D, try_cast(value as double))) as int)")
+    score = F.expr("if(try_cast(value as double) is null, null, cast(least(100D, greatest(0D, try_cast(value as double))) as int))")
     good = one.select("source", "n", F.expr("try_cast(number as int)").alias("number"), score.alias("score")).where("number between 1 and n and score is not null")
     enough = F.count("*").over(Window.partitionBy("source")) >= F.ceil(F.col("n") / 2)
     return good.select("*", enough.alias("enough")).where("enough").select("source", "number", "score")
