@@ -103,7 +103,7 @@ SQL = {
     "tokenize": w(TOKENS) + "SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM tok",
     "term_frequency": w(TOKENS, WEIGHTS) + "SELECT doc_id, term, tf FROM tf",
     "document_frequency": w(TOKENS, WEIGHTS) + "SELECT term, df FROM df",
-    "top_terms": w(TOKENS, WEIGHTS) + "SELECT doc_id, term, rank, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 12) DESC, term) AS rank FROM wt) WHERE rank <= 8",
+    "top_terms": w(TOKENS, WEIGHTS) + "SELECT doc_id, term, CAST(rank AS INTEGER) AS rank, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 12) DESC, term) AS rank FROM wt) WHERE rank <= 8",
     "cosine": w(TOKENS, WEIGHTS, PAIRS)
     + """SELECT p.a, p.b, round(CASE WHEN coalesce(dot, 0) = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, dot / (x.norm * y.norm)) END, 6) AS cosine FROM pairs p
   LEFT JOIN (SELECT p.a, p.b, sum(x.weight * y.weight) AS dot FROM pairs p JOIN wt x ON x.doc_id = p.a JOIN wt y ON y.doc_id = p.b AND y.term = x.term GROUP BY 1, 2) d ON d.a = p.a AND d.b = p.b
@@ -112,8 +112,8 @@ SQL = {
     "heuristic_relevance": w(DOCS, POOLS, HEUR) + "SELECT source, target, keyword, heuristic FROM heur",
     "blended_relevance": w(TOKENS, DOCS, POOLS, BATCH, HEUR)
     + "SELECT source, target, round(100.0::DOUBLE * (0.7::DOUBLE * CASE WHEN best > 0 THEN cosine / best ELSE 0.0::DOUBLE END + 0.3::DOUBLE * least(1.0::DOUBLE, heuristic / 5.0::DOUBLE)), 1) AS relevance FROM (SELECT source, target, round(cosine, 9) AS cosine, heuristic, max(round(cosine, 9)) OVER (PARTITION BY source) AS best FROM bs JOIN heur USING (source, target))",
-    "target_pool": "SELECT source, target, rank FROM (SELECT s.doc_id AS source, t.doc_id AS target, row_number() OVER (PARTITION BY s.doc_id ORDER BY t.doc_id % 120, t.doc_id DESC) AS rank FROM documents s JOIN documents t ON s.doc_id <> t.doc_id AND t.doc_id <> s.doc_id + 1) WHERE rank <= 100",
-    "front_runners": w(SUGGESTIONS) + "SELECT source_post_id, id, relevance_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_post_id ORDER BY relevance_score DESC, id) AS rank FROM suggestions) WHERE rank <= 12",
+    "target_pool": "SELECT source, target, CAST(rank AS INTEGER) AS rank FROM (SELECT s.doc_id AS source, t.doc_id AS target, row_number() OVER (PARTITION BY s.doc_id ORDER BY t.doc_id % 120, t.doc_id DESC) AS rank FROM documents s JOIN documents t ON s.doc_id <> t.doc_id AND t.doc_id <> s.doc_id + 1) WHERE rank <= 100",
+    "front_runners": w(SUGGESTIONS) + "SELECT source_post_id, id, relevance_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_post_id ORDER BY relevance_score DESC, id) AS rank FROM suggestions) WHERE rank <= 12",
     "keyword_match": w(DOCS, PAIRS)
     + "SELECT a, b, lower(regexp_extract(x.title, '[A-Za-z]+')) AS keyword, regexp_matches(y.text, '(?i)(^|[^\\p{L}\\p{N}\\p{M}_&])' || lower(regexp_extract(x.title, '[A-Za-z]+')) || '($|[^\\p{L}\\p{N}\\p{M}_])') AS found FROM pairs JOIN docs x ON x.doc_id = a JOIN docs y ON y.doc_id = b WHERE regexp_extract(x.title, '[A-Za-z]+') <> ''",
     "extract_links": w(HREFS) + "SELECT source_id, CAST(pos AS INTEGER) AS pos, href AS link_url, anchor AS anchor_text FROM hrefs",
