@@ -134,8 +134,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # Windows from even places of the text, so that the driver gets windows_each short strings a document.
     step = rules.window * rules.windows_each
     pieces = F.transform(F.sequence(F.lit(0), F.lit(rules.windows_each - 1)), lambda k: F.substring(F.col("text"), (k * F.length("text") / rules.windows_each).cast("int") + 1, F.lit(rules.window)))
-    order = F.xxhash64(F.col("id").cast("string"))
-    rows = labelled.select(order.alias("h"), F.col("id").cast("string").alias("id"), "lang", F.when(F.length("text") <= step, F.array(F.col("text"))).otherwise(pieces).alias("pieces")).orderBy("h", "id", "lang").limit(rules.sample).collect()
+    # Only rows whose hash is small enough for some three times the sample are sent, so that what tasks send does not grow with their number.
+    order = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40))
+    n = slim.where(F.col("lang").isNotNull() & F.col("id").isNotNull()).count()
+    few = labelled.where(order < int((1 << 40) * min(1.0, 3 * rules.sample / max(1, n))))
+    picked = few.select(order.alias("h"), F.col("id").cast("string").alias("id"), "lang", F.when(F.length("text") <= step, F.array(F.col("text"))).otherwise(pieces).alias("pieces"))
+    rows = picked.orderBy("h", "id", "lang").limit(rules.sample).collect()
     classes = sorted({r["lang"] for r in rows})
     if not classes:
         return None
