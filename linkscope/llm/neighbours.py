@@ -40,6 +40,7 @@ class VantageTree:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors, self.leaf = ids[order], np.ascontiguousarray(vectors[order], dtype=np.float64), leaf
         self.root = self._build(0, len(ids))
+        self.squares = (self.vectors**2).sum(axis=1)
 
     def _build(self, a: int, b: int) -> tuple:
         """(a, b) for a leaf, else (a, b, vantage point, inner, its bounds, outer, its bounds)."""
@@ -54,18 +55,35 @@ class VantageTree:
         return (a, b, point, self._build(a, a + middle), bounds[0], self._build(a + middle, b), bounds[1])
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids of the k nearest of each query, by distance and then id; inf and -1 where there are fewer."""
-        best = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, dtype=np.int64)
-        self._visit(self.root, np.arange(len(queries)), queries, own, best, factor)
+        """Distances and ids of the k nearest of each query, by distance and then id; inf and -1 where there are fewer.
+
+        Each query first goes down to the leaf it seems to belong to, which gives a limit to its k-th distance; then all queries sweep over
+        the tree together, so that a node is visited once for all whose limit it may beat.
+        """
+        fresh = lambda: (np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, dtype=np.int64))
+        everyone, first, best = np.arange(len(queries)), fresh(), fresh()
+        self._visit(self.root, everyone, queries, own, first, None, factor)
+        self._visit(self.root, everyone, queries, own, best, first[0][:, -1], factor)
         return best
 
-    def _visit(self, node: tuple, some: np.ndarray, queries: np.ndarray, own: np.ndarray, best: tuple, factor: float) -> None:
+    def _visit(self, node: tuple, some: np.ndarray, queries: np.ndarray, own: np.ndarray, best: tuple, limit: np.ndarray | None, factor: float) -> None:
+        """limit: of each query's k-th distance; None to go down one way only."""
         if not len(some):
             return
+        most = best[0][some, -1] if limit is None else np.minimum(best[0][some, -1], limit[some])
         if len(node) == 2:
             a, b = node
-            d = distances(queries[some], self.vectors[a:b])
-            d[own[some][:, None] == self.ids[None, a:b]] = np.inf
+            # A product tells roughly how far each pair is; only pairs that may be among the best, errors allowed for, are measured.
+            squares = (queries[some] ** 2).sum(axis=1)[:, None] + self.squares[None, a:b]
+            rough = squares - 2 * (queries[some] @ self.vectors[a:b].T)
+            may = (rough <= most[:, None] ** 2 + 1e-9 * squares) & (own[some][:, None] != self.ids[None, a:b])
+            if not may.any():
+                return
+            near = np.flatnonzero(may.any(axis=1))
+            some, may = some[near], may[near]
+            row, column = np.nonzero(may)
+            d = np.full(may.shape, np.inf)
+            d[row, column] = np.sqrt(((queries[some[row]] - self.vectors[a + column]) ** 2).sum(axis=-1))
             all_d = np.concatenate([best[0][some], d], axis=1)
             all_ids = np.concatenate([best[1][some], np.broadcast_to(self.ids[a:b], d.shape)], axis=1)
             all_ids = np.where(np.isinf(all_d), -1, all_ids)
@@ -75,12 +93,10 @@ class VantageTree:
             return
         _, _, point, inner, (lo_in, hi_in), outer, (lo_out, hi_out) = node
         d = distances(queries[some], point[None, :])[:, 0]
-        first = np.maximum(lo_in - d, d - hi_in) <= np.maximum(lo_out - d, d - hi_out)
-        for turn in (True, False):  # the likelier half first, then the other if its bound allows
-            for half, lo, hi, mine in ((inner, lo_in, hi_in, first == turn), (outer, lo_out, hi_out, first != turn)):
-                bound = np.maximum(np.maximum(lo - d[mine], d[mine] - hi), 0)
-                keep = bound * factor <= best[0][some[mine], -1] * (1 + 1e-9)
-                self._visit(half, some[mine][keep], queries, own, best, factor)
+        below, above = np.maximum(np.maximum(lo_in - d, d - hi_in), 0), np.maximum(np.maximum(lo_out - d, d - hi_out), 0)
+        for half, bound, other in ((inner, below, above), (outer, above, below)):
+            keep = (bound < other) | ((bound == other) & (half is inner)) if limit is None else bound * factor <= most * (1 + 1e-9)
+            self._visit(half, some[keep], queries, own, best, limit, factor)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
