@@ -15,11 +15,10 @@ tables give no pieces; other columns are ignored.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,11 @@ from pyspark.sql import functions as F
 
 from linkscope.llm.common import quoted, written
 
-#: Bytes of tokens to a range, and the most ranges: their bounds and sums are all that the driver holds.
-RANGE_BYTES, MAX_RANGES = 16 << 20, 1 << 14
-#: Pieces whose tokens a worker remembers.
-REMEMBERED = 250_000
+#: Bytes of tokens to a range, and the most ranges: their bounds and sums are all that the driver holds. Tasks stream their range and sort it
+#: outside memory, so ranges that grow beyond that number take longer, not more memory.
+RANGE_BYTES, MAX_RANGES = 16 << 20, 1 << 16
+#: Characters of a long text that are encoded at a time, and bytes of tokens of a text or of pieces that are handed on at a time.
+BLOCK, HANDED_ON = 1 << 18, 4 << 20
 
 
 def _vocabulary(name: str) -> str:
@@ -50,57 +50,58 @@ class PackingRules:
     bits: int = 12
 
 
-class PieceTokens(dict):
-    """Tokens, as little-endian 16-bit integers, of the pieces that the byte-level pattern cuts a text into; no token reaches over two.
+class Encoder:
+    """Tokens of a text as little-endian 16-bit integers.
 
-    Pieces go to the encoder that has the same vocabulary as ranks, and are remembered. For texts of the characters in ``plain`` the
-    standard library's classes mean what the pattern's do; other texts, and those with a special token, are encoded whole.
+    The encoder that has the vocabulary as ranks is the faster one. For texts of the characters in ``plain`` its pattern means what the
+    tokenizers library's does; other texts, those with a special token and those with a very long run of white space, which its pattern
+    cannot take, go to the library, which is loaded for the first of them. Long texts are encoded in blocks, cut before a single space
+    between other characters, which no token reaches over.
     """
 
     plain = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u024f\u2013-\u201d\u2026\u20ac]")
-    piece = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    gap = re.compile(r"\s{2000}")
+    cut = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, vocabulary: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.older: dict[str, bytes] = {}
-        self.encoder = Tokenizer.from_file(_vocabulary(vocabulary))
-        self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
-        if self.encoder.get_vocab_size(with_added_tokens=True) > 1 << 16:
-            raise ValueError("token ids take more than 16 bits")
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
+        self.vocabulary = vocabulary
+        with open(_vocabulary(vocabulary), encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        if len(spec["model"]["vocab"]) + len(self.special) > 1 << 16:
+            raise ValueError("token ids take more than 16 bits")
         with open(_vocabulary(vocabulary.removesuffix(".json") + ".tiktoken"), "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        self.short = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:  # what was not asked for since the last time is forgotten
-            self.older = dict(self)
-            self.clear()
-        got = self.older.get(piece)
-        if got is None:
-            ids = self.short(piece)
-            got = struct.pack("<%dH" % len(ids), *ids)
-        if len(piece) < 64:
-            self[piece] = got
-        return got
+        self.ordinary = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(_vocabulary(self.vocabulary))
+
+    def blocks(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > BLOCK and (found := self.cut.search(text, at + BLOCK)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:] if at else text
 
     def encode(self, text: str) -> bytes:
-        if self.plain.search(text) or any(t in text for t in self.special):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.piece.findall(text)))
+        if self.plain.search(text) or self.gap.search(text) or any(t in text for t in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return b"".join(np.array(self.ordinary(block), dtype="<u2").tobytes() for block in self.blocks(text))
 
 
 @cache
-def _tokens(vocabulary: str) -> PieceTokens:
-    return PieceTokens(vocabulary)
+def _tokens(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 @cache
@@ -155,13 +156,20 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, rules: PackingRules)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, end = _tokens(rules.vocabulary), np.array([rules.end_id], dtype="<u2").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                made = [pieces.encode(t.as_py() or "") + end for t in some.column("text")]
+            at = 0
+            while at < batch.num_rows:
+                made, size = [], 0
+                for text in batch.column("text").slice(at, 512):
+                    made.append(pieces.encode(text.as_py() or "") + end)
+                    size += len(made[-1])
+                    if size > HANDED_ON:
+                        break
+                ids = batch.column("doc_id").slice(at, len(made))
+                at += len(made)
                 keys = curve_keys([np.frombuffer(m, dtype="<u2") for m in made], rules)
-                ties = np.array([zlib.crc32(str(i.as_py()).encode()) >> 17 for i in some.column("doc_id")], dtype=np.uint64)
+                ties = np.array([zlib.crc32(str(i.as_py()).encode()) >> 17 for i in ids], dtype=np.uint64)
                 keys = (keys << np.uint64(tie_bits)) | (ties >> np.uint64(max(0, 15 - tie_bits)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(made, pa.binary()), pa.array([len(m) // 2 for m in made], pa.int64()), pa.array(keys.view(np.int64))], names=["doc_id", "ids", "n", "key"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary()), pa.array([len(m) // 2 for m in made], pa.int64()), pa.array(keys.view(np.int64))], names=["doc_id", "ids", "n", "key"])
 
     return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, ids binary, n long, key long")
 
@@ -174,7 +182,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     n_ranges = int(min(MAX_RANGES, max(1, 2 * total // RANGE_BYTES)))
     bounds = np.empty(0, dtype=np.int64)
     if n_ranges > 1:
-        bounds = np.unique(made.agg(F.percentile_approx("key", [i / n_ranges for i in range(1, n_ranges)], 20 * n_ranges)).first()[0])
+        # Keys are weighed by tokens: one for each unit of them, the rest decided by a hash, so that ranges are even in bytes, not in rows.
+        unit = max(1, total // (1000 * n_ranges))
+        weight = F.floor(F.col("n") / unit + F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 20)) / float(1 << 20)).cast("int")
+        weighed = made.select("key", F.explode(F.array_repeat(F.lit(0).cast("byte"), weight)))
+        bounds = np.unique(weighed.agg(F.percentile_approx("key", [i / n_ranges for i in range(1, n_ranges)], 10 * n_ranges)).first()[0])
 
     # A number for each range that hashes to a partition of its own, so that no task gets several ranges by chance.
     spread = made.sparkSession.range(12 * n_ranges).select("id", F.pmod(F.hash("id"), F.lit(n_ranges)).alias("p")).groupBy("p").agg(F.min("id")).collect()
@@ -203,22 +215,33 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, position = None, 0
+        out: dict[str, list] = {c: [] for c in ("row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
+
+        def handed_on(batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [pa.array(out[c], pa.binary() if c == "ids" else pa.int64()) for c in out]
+            for c in out.values():
+                c.clear()
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(columns[0]), *columns[1:]], names=["doc_id", *list(out)[1:]])
+
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
+            size = 0
             for row, (r, ids) in enumerate(zip(batch.column("range").to_pylist(), batch.column("ids"), strict=True)):
                 if r != now:
                     now, position = r, begins[r]
-                whole = np.frombuffer(ids.as_buffer(), dtype="<u2").astype("<u4")
+                narrow = np.frombuffer(ids.as_buffer(), dtype="<u2")
                 start = 0
-                while start < len(whole):
+                while start < len(narrow):
                     offset = position % capacity
-                    length = min(capacity - offset, len(whole) - start)
-                    for c, v in (("row", row), ("start", start), ("length", length), ("ids", whole[start : start + length].tobytes()), ("doc_tokens", len(whole)), ("sequence_id", position // capacity), ("offset", offset)):
+                    length = min(capacity - offset, len(narrow) - start)
+                    piece = narrow[start : start + length].astype("<u4").tobytes()
+                    for c, v in (("row", row), ("start", start), ("length", length), ("ids", piece), ("doc_tokens", len(narrow)), ("sequence_id", position // capacity), ("offset", offset)):
                         out[c].append(v)
-                    start, position = start + length, position + length
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(out["row"], pa.int64())), *(pa.array(out[c], pa.binary() if c == "ids" else pa.int64()) for c in list(out)[1:])], names=["doc_id", *list(out)[1:]]
-            )
+                    start, position, size = start + length, position + length, size + len(piece)
+                    if size >= HANDED_ON:
+                        yield handed_on(batch)
+                        size = 0
+            if size:
+                yield handed_on(batch)
 
     ranged = made.select(placed("key").alias("at"), "key", "doc_id", "ids").select("at.range", "at.place", "key", "doc_id", "ids").repartition(n_ranges, "place").sortWithinPartitions("range", "key", "doc_id")
     return ranged.mapInArrow(run, f"doc_id {dict(made.dtypes)['doc_id']}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

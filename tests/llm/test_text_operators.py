@@ -144,7 +144,7 @@ def test_packing(spark, library, monkeypatch):
     monkeypatch.setattr(packing, "RANGE_BYTES", 1 << 16)
     lib = library["byte_bpe_50k.json"]
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
-    more = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a  b \n c<|endoftext|> d "), (-4, LONG)], "doc_id long, text string")
+    more = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a  b \n c<|endoftext|> d "), (-4, LONG), (-5, " " * 3000 + "y")], "doc_id long, text string")
     whole = docs.unionByName(more)
     pieces = packing.digest(packing.pack(whole)).collect()
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
@@ -169,6 +169,13 @@ def test_packing(spark, library, monkeypatch):
     assert packing.pack(odd_rows(spark)).count() >= 6
 
 
+def test_packing_encoder_in_blocks(library, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 100)
+    lib, own = library["byte_bpe_50k.json"], packing.Encoder("byte_bpe_50k.json")
+    for text in ["", " ", " " * 5000 + "x", "one  two\tthree 'll  don't\n\n x " * 200, "a" * 3000, "a<|endoftext|> b " * 30, "漢字かな " * 90, "x y" + " " * 150 + "z w " * 60]:
+        assert np.frombuffer(own.encode(text), dtype="<u2").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_hilbert_neighbours_touch():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     order = grid[np.argsort(packing.hilbert(grid, 3))]
