@@ -1,13 +1,15 @@
 """Operator 3, BPE encoding and decoding as streaming transducers.
 
 Encoding reads symbols from left to right and keeps, for each prefix, the last token of that prefix's encoding. A token may follow
-another only if the two, spelt out together, are encoded as just these two; that makes the last token of each prefix unique. A later
-symbol can only be joined to what comes before by a token, and no token of the merge list is longer than ``lookahead`` symbols, so only
-the last ``lookahead`` prefixes can still be continued: a boundary on which all their chains agree is stable, the tokens before it are
-emitted, and their state is dropped. Memory depends on the merge list, not on the text.
+another only if the two, spelt out together, are encoded as just these two; that makes the last token of each prefix unique. The lookahead
+that suffices is the width of the longest token, ``lookahead`` symbols: whatever comes later follows some prefix's encoding, and the token
+that covers the present end begins behind one of the last ``lookahead`` prefixes. A boundary on which the chains of all these agree is
+therefore in every continuation: it is stable, the tokens before it are emitted, and their state is dropped. Memory depends on the merge
+list, not on the text.
 
-Pieces that occur again and again are remembered, up to a bound, in each worker. Long texts are cut into blocks at spaces, which no
-piece of the pattern holds; normal forms and lower case do not reach across a space either.
+Every token comes from the transducer. What it gave for a short piece is remembered, up to a bound, in each worker. Long texts are read in
+blocks, cut where no normal form, special token or contraction reaches over; a run of letters or signs that a cut interrupts stays in the
+transducer until its end, so that texts without spaces take no more memory.
 
 Decoding is a state machine from bytes to text that holds back an unfinished character. Vocabularies without a decoder are decoded to
 their token strings, joined by spaces.
@@ -36,7 +38,7 @@ from linkscope.llm.common import quoted
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 #: Remembered pieces of a worker, and the longest of them.
 REMEMBERED, LONGEST = 500_000, 48
-#: Characters of a text that are turned into tokens and hashed at a time, cut at a space.
+#: Characters of a text that are turned into tokens and hashed at a time.
 BLOCK = 1 << 18
 
 
@@ -94,51 +96,66 @@ class MergeList:
 
 
 class StreamingEncoder:
-    """Tokens of one piece, symbol by symbol.
+    """Tokens of one piece after another, symbol by symbol.
 
     ``text`` holds the symbols since the last stable boundary, ``last`` the last token of the encoding of each of their prefixes, and
     ``starts`` the places where a token that is still open can have begun.
     """
 
     def __init__(self, merges: MergeList) -> None:
-        self.merges, self.text, self.last, self.starts = merges, "", [""], []
-
-    def _last_token(self, ends: str) -> str:
-        ids, agree, agreed, last = self.merges.ids, self.merges.agree, self.merges.agreed, self.last
-        for start in self.starts:
-            token = ends[start:]
-            if token in ids:
-                before = last[start]
-                if not before:
-                    return token
-                ok = agreed.get((before, token))
-                if ok or ok is None and agree(before, token):
-                    return token
-        raise ValueError(f"no token ends in {ends[-1]!r}")
-
-    def feed(self, symbols: Iterable[str]) -> Iterator[str]:
+        self.merges = merges
+        self._begin()
+
+    def _begin(self) -> None:
+        self.text, self.last, self.starts = "", [""], []
+
+    def feed(self, symbols: str) -> list[str]:
         """Symbols that are followed by others; gives the tokens that have become stable."""
-        opened, most = self.merges.open, 4 * self.merges.lookahead
+        opened, agree, agreed, most, out = self.merges.open, self.merges.agree, self.merges.agreed, 4 * self.merges.lookahead, []
+        text, last, starts = self.text, self.last, self.starts
         for symbol in symbols:
-            self.starts.append(len(self.text))
-            self.text = text = self.text + symbol
-            self.starts = [start for start in self.starts if text[start:] in opened]
-            self.last.append(self._last_token(text))
+            starts.append(len(text))
+            text += symbol
+            still, found = [], ""
+            for start in starts:
+                token = text[start:]
+                is_token = opened.get(token)
+                if is_token is None:
+                    continue
+                still.append(start)
+                if is_token and not found:
+                    before = last[start]
+                    if not before or (ok := agreed.get((before, token))) or ok is None and agree(before, token):
+                        found = token
+            if not found:
+                raise ValueError(f"no token ends in {symbol!r}")
+            last.append(found)
+            starts = still
             if len(text) >= most:
-                yield from self._stable()
+                self.text, self.starts = text, starts
+                out += self._stable()
+                text, last, starts = self.text, self.last, self.starts
+        self.text, self.starts = text, starts
+        return out
 
     def finish(self, symbol: str) -> list[str]:
-        """The last symbol of the piece; gives the tokens that are left."""
-        self.starts.append(len(self.text))
-        self.text += symbol
-        self.last.append(self._last_token(self.text + self.merges.suffix))
-        return self._chain(len(self.text))
+        """The last symbol of the piece; gives the tokens that are left, and is ready for the next piece."""
+        ids, agree, suffix, text = self.merges.ids, self.merges.agree, self.merges.suffix, self.text + symbol
+        for start in (*self.starts, len(text) - 1):
+            token = text[start:] + suffix
+            if token in ids and (not self.last[start] or agree(self.last[start], token)):
+                break
+        else:
+            raise ValueError(f"no token ends in {symbol!r}")
+        tokens = [*self._chain(start), token]
+        self._begin()
+        return tokens
 
     def _chain(self, at: int) -> list[str]:
-        tokens = []
+        tokens, last, width = [], self.last, self.merges.width
         while at > 0:
-            tokens.append(self.last[at])
-            at -= self.merges.width(self.last[at])
+            tokens.append(last[at])
+            at -= width(last[at])
         return tokens[::-1]
 
     def _stable(self) -> list[str]:
@@ -155,30 +172,6 @@ class StreamingEncoder:
         return tokens
 
 
-def tokens_of(text: str, merges: MergeList) -> list[str]:
-    """As StreamingEncoder, for a short piece that is there as a whole: the same states, each reached from the starts before it."""
-    ids, opened, agree, agreed, suffix, n = merges.ids, merges.open, merges.agree, merges.agreed, merges.suffix, len(text)
-    last = [""] * (n + 1)
-    for start in range(n):
-        before = last[start]
-        for end in range(start + 1, n):
-            token = text[start:end]
-            is_token = opened.get(token)
-            if is_token is None:
-                break
-            if is_token and not last[end] and (not start or ((ok := agreed.get((before, token))) or ok is None and agree(before, token))):
-                last[end] = token
-        else:
-            token = text[start:] + suffix
-            if token in ids and not last[n] and (not start or agree(before, token)):
-                last[n] = token
-    tokens, width = [], merges.width
-    while n > 0:
-        tokens.append(last[n])
-        n -= width(last[n])
-    return tokens[::-1]
-
-
 class TextDecoder:
     """Bytes in, text out: an unfinished character waits for its rest, a broken one becomes U+FFFD."""
 
@@ -194,69 +187,131 @@ class TextDecoder:
         return self.state.decode(b"", True)
 
 
+@cache
+def _joining() -> frozenset[str]:
+    """Characters that a normal form can join to, or move before, what precedes them."""
+    seconds = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            seconds.add(chr(int(parts[1], 16)))
+    return frozenset(seconds)
+
+
 class WordCodec:
     """The word vocabulary: lower case, white space dropped, word ends marked; its decoder is plain."""
 
     def __init__(self, path: str) -> None:
-        self.merges = MergeList(path)
+        self.path, self.merges = path, MergeList(path)
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.piece = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")")
         # For texts of these characters alone, which are in normal form, the standard library's classes mean the same and are faster.
         self.plain = re.compile(r"[^\x00-\x7f\xc0-\u024f\u2013-\u201d\u2026\u20ac]")
         self.plain_piece = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^{WHITE}\w]|_)+")
+        # Runs that a block's end can interrupt.
+        self.runs = (regex.compile(r"\p{L}+"), regex.compile(rf"[^{WHITE}\p{{L}}\p{{N}}]+"))
         self.pieces = _Pieces(self)
+        self.bytes = {i: t.encode() for i, t in self.merges.names.items()}
+
+    def symbols(self, piece: str) -> str:
+        return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
 
-    def piece_tokens(self, piece: str) -> list[str]:
-        text = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
-        if len(text) <= 2 * LONGEST:
-            return tokens_of(text, self.merges)
-        encoder = StreamingEncoder(self.merges)
-        return [*encoder.feed(text[:-1]), *encoder.finish(text[-1])]
+    @staticmethod
+    def normal(text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def ids(self, text: str) -> Iterator[str]:
-        """Ids of the pieces of a text or of a part of one that is cut at a space."""
+        """Ids of the pieces of a text."""
         for plain in self.cut.split(text) if "<|" in text else [text]:
             if plain in self.merges.special:
                 yield self.merges.digits[plain]
             elif self.plain.search(plain):
-                yield from map(self.pieces.__getitem__, self.piece.findall(unicodedata.normalize("NFC", plain).replace("Σ", "σ").lower()))
+                yield from map(self.pieces.__getitem__, self.piece.findall(self.normal(plain)))
             else:
                 yield from map(self.pieces.__getitem__, self.plain_piece.findall(plain.lower()))
 
-    def blocks(self, text: str) -> Iterator[str]:
-        at = 0
-        while len(text) - at > BLOCK:
-            cut = text.find(" ", at + BLOCK)
-            if cut < 0:
+    def boundary(self, text: str, at: int) -> int:
+        """The first place from at on that no normal form, special token or contraction reaches over."""
+        joining = _joining()
+        while at < len(text):
+            if text[at] in joining or unicodedata.combining(text[at]) or any(text[at - n : at - n + 1] == "'" != text[at - n - 1 : at - n] for n in (1, 2)):
+                at += 1
+                continue
+            over = [at + n for t in self.merges.special for n in range(1, len(t)) if text.startswith(t, at - len(t) + n)]
+            if not over:
                 break
-            yield text[at:cut]
-            at = cut + 1
-        yield text[at:]
+            at = max(over)
+        return min(at, len(text))
+
+    def blocks(self, text: str) -> Iterator[str]:
+        """Ids, block by block, of a long text. A run that goes on beyond its block stays in the transducer, a short one waits for its rest."""
+        at, rest, encoder, open_run, held = 0, "", None, None, ""
+        digits = self.merges.digits.__getitem__
+        while at < len(text):
+            end = self.boundary(text, at + BLOCK)
+            out: list[str] = []
+            parts = self.cut.split(text[at:end])
+            for n, part in enumerate(parts):
+                special = part in self.merges.special
+                part = part if special else rest + self.normal(part)
+                rest = "" if not special else rest
+                if open_run is not None:
+                    more = None if special else open_run.match(part)
+                    if more:
+                        symbols = held + self.symbols(more[0])
+                        out += map(digits, encoder.feed(symbols[:-1]))
+                        held, part = symbols[-1], part[more.end() :]
+                    if part or special:
+                        out += map(digits, encoder.finish(held))
+                        open_run = None
+                if special:
+                    out.append(digits(part))
+                    continue
+                last = n == len(parts) - 1 and end < len(text)
+                for piece in self.piece.finditer(part):
+                    run = next((r for r in self.runs if r.fullmatch(piece[0])), None) if last and piece.end() == len(part) else None
+                    if run is None:
+                        out.append(self.pieces[piece[0]])
+                    elif len(piece[0]) <= LONGEST:
+                        rest = piece[0]
+                    else:
+                        encoder, symbols = StreamingEncoder(self.merges), self.symbols(piece[0])
+                        out += map(digits, encoder.feed(symbols[:-1]))
+                        open_run, held = run, symbols[-1]
+            at = end
+            if out:
+                yield " ".join(out)
+        if open_run is not None:
+            yield " ".join(map(digits, encoder.finish(held)))
 
     def encode(self, text: str) -> Iterator[str]:
         """Ids, decimal and joined by spaces, block by block."""
-        for block in self.blocks(text):
-            if ids := " ".join(self.ids(block)):
-                yield ids
+        if len(text) > BLOCK:
+            yield from self.blocks(text)
+        elif ids := " ".join(self.ids(text)):
+            yield ids
 
     def decode(self, ids: Iterable[str]) -> Iterator[str]:
-        """Token strings joined by spaces, for ids as encode gives them."""
-        names = self.merges.names
+        """The text of ids as encode gives them, block by block: token strings joined by spaces, as bytes through the decoder's states."""
+        decoder, lead = TextDecoder(), b""
         for block in ids:
-            yield " ".join(map(names.__getitem__, block.split(" ")))
+            yield decoder.feed(lead + b" ".join(map(self.bytes.__getitem__, block.split(" "))))
+            lead = b" "
+        yield decoder.finish()
 
 
 class _Pieces(dict):
-    """Ids of pieces, decimal and joined by spaces."""
+    """Ids of pieces, decimal and joined by spaces, as the transducer gave them; pieces of over LONGEST characters go through it each time."""
 
     def __init__(self, codec: WordCodec) -> None:
-        self.codec = codec
+        self.codec, self.encoder = codec, StreamingEncoder(codec.merges)
 
     def __missing__(self, piece: str) -> str:
         if len(self) >= REMEMBERED:
             self.clear()
-        got = " ".join(map(self.codec.merges.digits.__getitem__, self.codec.piece_tokens(piece)))
+        symbols, encoder = self.codec.symbols(piece), self.encoder
+        got = " ".join(map(self.codec.merges.digits.__getitem__, encoder.feed(symbols[:-1]) + encoder.finish(symbols[-1])))
         if len(piece) <= LONGEST:
             self[piece] = got
         return got
@@ -279,14 +334,18 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
             out: list[tuple] = []
             for text in batch.column("text"):
                 ids_sum, text_sum, n, kept = sha256(), sha256(), 0, []
-                for block in codec.encode(text.as_py() or ""):
-                    lead = b" " if n else b""
-                    ids_sum.update(lead + block.encode())
-                    for decoded in codec.decode([block]):
-                        text_sum.update(lead + decoded.encode())
-                    n += block.count(" ") + 1
-                    if with_ids:
-                        kept += map(int, block.split(" "))
+
+                def passed(blocks: Iterator[str]) -> Iterator[str]:
+                    nonlocal n, kept
+                    for block in blocks:
+                        ids_sum.update((b" " if n else b"") + block.encode())
+                        n += block.count(" ") + 1
+                        if with_ids:
+                            kept += map(int, block.split(" "))
+                        yield block
+
+                for decoded in codec.decode(passed(codec.encode(text.as_py() or ""))):
+                    text_sum.update(decoded.encode())
                 out.append((kept, n, ids_sum.hexdigest(), text_sum.hexdigest()))
             ids, n, a, b = zip(*out, strict=True) if out else ((), (), (), ())
             columns = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}

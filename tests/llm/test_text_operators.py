@@ -114,7 +114,53 @@ def test_bpe_equals_the_library(library):
     for text in texts:
         want, ids = lib.encode(text, add_special_tokens=False).ids, list(codec.encode(text))
         assert [int(i) for block in ids for i in block.split()] == want
-        assert " ".join(codec.decode(ids)) == lib.decode(want, skip_special_tokens=False)
+        assert "".join(codec.decode(ids)) == lib.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_blocks_need_no_spaces(library, monkeypatch):
+    """Cuts fall anywhere: in runs, before combining marks, in special tokens and contractions, and in composed syllables."""
+    codec, lib, rng = bpe.word_codec("word_bpe_49k.json"), library["word_bpe_49k.json"], random.Random(11)
+    alphabet = ["a", "the", "ing", "é", "e\u0301", "\u0301", "'", "'s", "'ll", "l", "!", "?!", "漢字", "<|endoftext|>", "<|", "7", "٣", "가", "ᄀ", "ᅡ", "ᆨ", "Σ", "İ", " ", "\n"]
+    texts = ["".join(rng.choice(alphabet[: rng.choice((4, 9, 25))]) for _ in range(rng.randint(20, 300))) for _ in range(250)]
+    for block in (1, 7, 64):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        for text in [*texts, "x" * 900, "!" * 700 + "'s" * 40]:
+            ids = list(codec.encode(text))
+            assert [int(i) for b in ids for i in b.split()] == lib.encode(text, add_special_tokens=False).ids
+            assert "".join(codec.decode(ids)) == lib.decode([int(i) for b in ids for i in b.split()], skip_special_tokens=False)
+
+
+def test_bpe_goes_through_its_machines(monkeypatch):
+    """All tokens come out of the transducer, all text out of the decoder, and a run of any length leaves little in the transducer."""
+    codec, given_out, most, decoded = bpe.WordCodec(bpe.word_codec("word_bpe_49k.json").path), [], [0], []
+    feed, finish, decode = bpe.StreamingEncoder.feed, bpe.StreamingEncoder.finish, bpe.TextDecoder.feed
+
+    def counted(method):
+        def call(self, symbols):
+            got = method(self, symbols)
+            given_out.extend(got)
+            most[0] = max(most[0], len(self.text))
+            return got
+
+        return call
+
+    monkeypatch.setattr(bpe.StreamingEncoder, "feed", counted(feed))
+    monkeypatch.setattr(bpe.StreamingEncoder, "finish", counted(finish))
+    monkeypatch.setattr(bpe.TextDecoder, "feed", lambda self, data: decoded.append(decode(self, data)) or decoded[-1])
+    monkeypatch.setattr(bpe, "BLOCK", 5000)
+    text = "Each of these words differs, once only! " + "".join(random.Random(2).choice("aeinrst") for _ in range(50_000)) + " end"
+    ids = list(codec.encode(text))
+    assert "".join(codec.decode(ids)) == " ".join(given_out) == "".join(decoded) and len(ids) > 8
+    assert most[0] <= 4 * codec.merges.lookahead
+
+
+def test_bpe_definition():
+    """The transducer against joining pairs by rank until none is left."""
+    codec, rng = bpe.word_codec("word_bpe_49k.json"), random.Random(4)
+    encoder = bpe.StreamingEncoder(codec.merges)
+    for _ in range(400):
+        piece = "".join(rng.choice("aaeeiinnrsttthing") for _ in range(rng.randint(1, 60)))
+        assert encoder.feed(piece[:-1]) + encoder.finish(piece[-1]) == codec.merges.merged([*piece[:-1], piece[-1] + codec.merges.suffix])
 
 
 def test_bpe_holds_a_bounded_window():
