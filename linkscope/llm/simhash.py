@@ -3,17 +3,21 @@
 Fingerprints are made in Arrow batches, equal ones are folded into one, and candidates come from chains: with m segments and a budget of
 k bits, a pair within k bits has a segment from which every chain of l consecutive segments (round the ring) differs in at most
 floor(l * k / m) bits. With m = 5 and k = 4 the first segment of such a chain is equal and the second differs in at most one bit, so
-each fingerprint is filed under its own first two segments and under the variants of the second with one bit turned: 75 short rows a
-fingerprint, with keys of 26 bits. Rows of a key meet in sorted runs; longer chains prune the pairs of a run before the full check, and of the
-pairs that pass it, a batch hands on a forest that joins the same fingerprints.
+each fingerprint is filed under its own first two segments, and under the variants of the second with one bit turned: 75 short rows a
+fingerprint, with keys of 26 bits. Of a pair, one finds the other's own key among its variants, so only own rows meet own and variant
+rows, never variants each other: of N fingerprints, a row meets N / 2 ** 26 own ones, 15 at 1e9 and 745 at 5e10 fingerprints, in memory
+and some nanoseconds each. Longer chains prune these pairs before the full check, and of the pairs that pass it, a batch hands on a forest
+that joins the same fingerprints.
 
-A run of more than ``run_limit`` rows would be a block of all pairs. Its fingerprints go another, equally exact way: any two of them
-within 4 bits share a point within 2 bits of both, so each is filed under its 2,081 points within 2 bits, and the members of a point,
-all within 4 bits of each other, are linked in a star. The work is in proportion to the fingerprints, whatever their groups.
+A key with more than ``run_limit`` own rows, and more than 16 times what evenly spread fingerprints would give it, would be a block of all
+pairs. Its fingerprints go another, equally exact way: any two of them within 4 bits share a point within 2 bits of both, so each is filed
+under its 2,081 points within 2 bits, and the members of a point, all within 4 bits of each other, are linked in a star. The work is in
+proportion to these fingerprints, however many are alike. The limit grows with N, so that this stays the way of dense groups alone.
 
 Defined results: a null text, an empty one and one without words have fingerprint 0 and are linked like any other; repeated rows give
 repeated rows; a null id has a fingerprint, and its component is the smallest id that shares it, or null; empty tables give empty
-results; further columns are ignored by ``groups`` and kept by ``keep_one``.
+results; further columns are ignored by ``groups`` and kept by ``keep_one``,
+which keeps one row of each group, rows without an id among them.
 """
 
 from __future__ import annotations
@@ -83,7 +87,10 @@ def chain_masks(rules: SimHashRules) -> list[list[int]]:
 
 
 def chain_keys(prints: np.ndarray, rules: SimHashRules) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and, for each, the position of its fingerprint: the first two segments of each chain, and their variants."""
+    """Keys and, for each, the position of its fingerprint: the first two segments of each chain, and their variants.
+
+    The lowest bit of a key tells variants from own segments, so that sorted rows of one key begin with the own ones.
+    """
     own, all_keys, rows = np.arange(len(prints)), [], []
     for i, masks in enumerate(chain_masks(rules)):
         second = masks[1] & ~masks[0]
@@ -91,7 +98,7 @@ def chain_keys(prints: np.ndarray, rules: SimHashRules) -> tuple[np.ndarray, np.
         turned = (prints & np.uint64(masks[1]))[:, None] ^ variants[None, :]
         low = np.uint64(sum(_widths(rules.segments)[:i]))
         packed = (turned >> low) | (turned << (np.uint64(BITS) - low)) if low else turned  # the chain's bits come to lie lowest
-        mixed = (packed << np.uint64(4)) | np.uint64(i)
+        mixed = (packed << np.uint64(5)) | np.uint64(i << 1) | (variants != 0).astype(np.uint64)[None, :]
         all_keys.append(mixed.ravel())
         rows.append(np.repeat(own, len(variants)))
     return np.concatenate(all_keys), np.concatenate(rows)
@@ -138,23 +145,16 @@ def _near(a: np.ndarray, b: np.ndarray, rules: SimHashRules, masks: list[list[in
     return good
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Keys and fingerprints of sorted rows, cut between keys or, in a run longer than a batch, inside it (then True)."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and fingerprints of sorted rows, batch by batch; the next batch begins with the first row of the key that the last one ended in."""
     keys, prints = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     for batch in batches:
         keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False)])
         prints = np.concatenate([prints, batch.column("print").to_numpy(zero_copy_only=False).view(np.uint64)])
-        if not len(keys):
-            continue
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut:
-            yield keys[:cut], prints[:cut], False
-            keys, prints = keys[cut:], prints[cut:]
-        elif len(keys) > 1 << 18:
-            yield keys, prints, True
-            keys, prints = keys[-1:], prints[-1:]
-    if len(keys):
-        yield keys, prints, False
+        if len(keys):
+            yield keys, prints
+            first = int(np.searchsorted(keys, keys[-1]))
+            keys, prints = keys[first : first + 1], prints[first : first + 1]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,45 +171,74 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if a:
+    if any(map(len, a)):
         roots, members = forest(np.concatenate(a), np.concatenate(b))
         yield from _batches(LINKED, roots.view(np.int64), members.view(np.int64), np.zeros(len(roots), dtype=bool))
 
 
-def _pairs_of_runs(rules: SimHashRules):
+def _compared(keys: np.ndarray, prints: np.ndarray, variant: np.ndarray, hot: np.ndarray, rules: SimHashRules, masks: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of the rows of a batch: each row with the own rows of its key, those before it for an own row."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    run = np.cumsum(np.r_[True, keys[1:] != keys[:-1]]) - 1
+    owns = np.add.reduceat(~variant, first)
+    begin = first[run]
+    # How many own rows a row still meets: an own row those before it.
+    meets = np.where(hot, 0, np.where(variant, owns[run], np.arange(len(keys)) - begin))
+    at, some_a, some_b = np.flatnonzero(meets > 0), [], []
+    held = d = 0
+    while len(at):
+        a, b = prints[at], prints[begin[at] + d]
+        ok = (a != b) & (np.bitwise_count(a ^ b) <= rules.max_bits)
+        ok[ok] = _near(a[ok], b[ok], rules, masks)
+        some_a.append(a[ok])
+        some_b.append(b[ok])
+        held += len(some_a[-1])
+        if held > PAIRS:  # those so far shrink to a forest
+            roots, members = forest(np.concatenate(some_a), np.concatenate(some_b))
+            some_a, some_b, held = [roots], [members], 0
+        d += 1
+        at = at[meets[at] > d]
+    return (np.concatenate(some_a), np.concatenate(some_b)) if some_a else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+
+def _pairs_of_runs(rules: SimHashRules, limit: int):
+    """Sorted rows to links, and to the fingerprints of keys with more than limit own rows, marked hot.
+
+    A key's own rows come first; they are carried from batch to batch until the key ends, at most limit of them, after which the key is
+    known to be hot and stays so to its end.
+    """
     masks = chain_masks(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, prints, inside in _runs(batches):
+        now, was_hot, carried = None, False, np.empty(0, dtype=np.uint64)
+        for batch in batches:
+            filed = batch.column("key").to_numpy(zero_copy_only=False)
+            prints = batch.column("print").to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(filed):
+                continue
+            keys, variant = filed >> 1, (filed & 1).astype(bool)
+            if keys[0] != now:
+                was_hot, carried = False, carried[:0]
+            old = len(carried)
+            if old:
+                keys, prints, variant = np.r_[np.full(old, now), keys], np.r_[carried, prints], np.r_[np.zeros(old, dtype=bool), variant]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            sizes = np.diff(np.r_[first, len(keys)])
-            long = np.repeat(sizes > rules.run_limit, sizes) | inside
-            hot = np.unique(prints[long])
-            yield from _batches(LINKED, hot.view(np.int64), hot.view(np.int64), np.ones(len(hot), dtype=bool))
-            left = np.repeat(first + sizes, sizes) - np.arange(len(keys))  # rows of the run from here on
-            at = np.flatnonzero((left > 1) & ~long)
-            some_a: list[np.ndarray] = []
-            some_b: list[np.ndarray] = []
-            for d in range(1, rules.run_limit):
-                at = at[left[at] > d]
-                if not len(at):
-                    break
-                a, b = prints[at], prints[at + d]
-                ok = a != b
-                ok[ok] = _near(a[ok], b[ok], rules, masks)
-                some_a.append(a[ok])
-                some_b.append(b[ok])
-                if sum(map(len, some_a)) > PAIRS:  # those so far shrink to a forest
-                    roots, members = forest(np.concatenate(some_a), np.concatenate(some_b))
-                    some_a, some_b = [roots], [members]
-            yield from _emit(some_a, some_b)
+            over = np.add.reduceat(~variant, first) > limit
+            over[0] |= was_hot
+            hot = np.repeat(over, np.diff(np.r_[first, len(keys)]))
+            found = np.unique(prints[hot])
+            yield from _batches(LINKED, found.view(np.int64), found.view(np.int64), np.ones(len(found), dtype=bool))
+            a, b = _compared(keys, prints, variant, hot, rules, masks)
+            yield from _emit([a], [b])
+            now, was_hot = keys[-1], bool(over[-1])
+            carried = prints[first[-1] :][~variant[first[-1] :]] if not was_hot else prints[:0]
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links the members of each point to its first; a batch hands on a forest."""
-    for keys, prints, _ in _runs(batches):
+    for keys, prints in _runs(batches):
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         head = np.repeat(prints[first], np.diff(np.r_[first, len(keys)]))
         yield from _emit([head[head != prints]], [prints[head != prints]])
@@ -217,8 +246,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame, rules: SimHashRules) -> DataFrame:
     """prints: distinct fingerprints in a column print. Gives pairs (a, b) that link all that lie within max_bits, directly or in chains."""
+    limit = max(rules.run_limit, 16 * prints.count() >> sum(_widths(rules.segments)[-2:]))
     filed = prints.mapInArrow(_file(lambda x: chain_keys(x, rules), 4096), "key long, print long")
-    met = written(filed.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_pairs_of_runs(rules), "a long, b long, hot boolean"), "candidates")
+    met = written(filed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "print").mapInArrow(_pairs_of_runs(rules, limit), "a long, b long, hot boolean"), "candidates")
     near = np.array([0, *(1 << b for b in range(BITS))], dtype=np.uint64) if rules.max_bits <= 2 else points_within_two()
     if rules.max_bits > 4:
         raise ValueError("runs beyond run_limit are exact up to 4 bits")
@@ -253,11 +283,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SimHashRules | None = None) -> DataFrame:
-    """The row with the smallest id of each group, with all its columns; of repeated rows with that id, one. Rows without an id go."""
-    mark = free_name(docs, "keeps")
-    firsts = groups(docs, id_col, text_col, rules).where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
-    kept = docs.join(firsts, quoted(id_col) == F.col(mark), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """One row of each group, with all its columns: that with the smallest id (an id is less than none), of rows that share it one."""
+    row, place = free_name(docs, "kept_row"), free_name(docs, "kept_place")
+    numbered = written(docs.select(F.monotonically_increasing_id().alias(place), F.struct(*[quoted(c) for c in docs.columns]).alias(row)), "numbered")
+    key = F.struct(F.col(row).getField(id_col).isNull().alias("none"), F.col(row).getField(id_col).alias("id"), F.col(place).alias("place"))
+    found = groups(numbered.select(key.alias("key"), F.col(row).getField(text_col).alias("text")), "key", "text", rules)
+    firsts = found.where("doc_id.place = component_id.place").select(F.col("doc_id.place").alias(place))
+    return numbered.join(firsts, place, "left_semi").select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -73,6 +74,50 @@ def test_simhash_links_of_dense_groups(spark, limit):
     assert classes(len(prints), found) == classes(len(prints), true)
 
 
+def _filed(prints, rules, step):
+    """Batches of step rows, sorted as Spark sorts them."""
+    keys, rows = simhash.chain_keys(prints, rules)
+    order = np.lexsort((prints[rows], keys))
+    for at in range(0, len(order), step):
+        some = order[at : at + step]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(prints[rows[some]].view(np.int64))], schema=simhash.KEYED)
+
+
+def test_simhash_runs_across_batches():
+    rng, rules = random.Random(3), simhash.SimHashRules()
+    centre = rng.getrandbits(64)
+    prints = {centre}
+    while len(prints) < 120:
+        x = centre
+        for _ in range(rng.randint(1, 9)):
+            x ^= 1 << rng.randrange(64)
+        prints.add(x)
+    prints = np.array(sorted(prints), dtype=np.uint64)
+    true = [(i, j) for i in range(len(prints)) for j in range(i) if bin(int(prints[i]) ^ int(prints[j])).count("1") <= 4]
+    for step in (1, 7, 1000):
+        links = [r for b in simhash._pairs_of_runs(rules, 500)(_filed(prints, rules, step)) for r in b.to_pylist()]
+        at = {int(p): i for i, p in enumerate(prints)}
+        found = [(at[r["a"] % 2**64], at[r["b"] % 2**64]) for r in links]
+        assert classes(len(prints), found) == classes(len(prints), true) and not any(r["hot"] for r in links)
+
+
+def test_simhash_keeps_a_key_hot_over_all_its_batches():
+    """270,100 fingerprints with one own key, in batches of 10,000 rows, and 400 variants after them: all are handed to the exact way."""
+    prints = np.arange(270_500, dtype=np.uint64) << np.uint64(32)
+    keys = np.r_[np.zeros(270_100, dtype=np.int64), np.ones(400, dtype=np.int64)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(keys[at : at + 10_000]), pa.array(prints[at : at + 10_000].view(np.int64))], schema=simhash.KEYED) for at in range(0, len(keys), 10_000))
+    out = list(simhash._pairs_of_runs(simhash.SimHashRules(), 256)(batches))
+    assert {x for b in out for x, h in zip(b.column("a").to_pylist(), b.column("hot").to_pylist(), strict=True) if h} == set(prints.view(np.int64).tolist())
+
+
+def test_simhash_keep_one_loses_no_text(spark):
+    docs = spark.createDataFrame([(None, "no id here", 1), (None, "another text without one", 2), (4, "first text of the id four", 3), (4, "second text under the same id", 4), (4, "second text under the same id", 5), (7, None, 6), (None, "", 7)], "doc_id long, text string, kept_row int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.kept_row for r in kept.collect() if r.kept_row not in (4, 5)) == [1, 2, 3, 6] and kept.where("kept_row in (4, 5)").count() == 1
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_every_near_pair_shares_a_chain():
     rng, rules = random.Random(1), simhash.SimHashRules()
     for _ in range(300):
@@ -80,7 +125,8 @@ def test_every_near_pair_shares_a_chain():
         b = a
         for bit in rng.sample(range(64), rng.randint(0, 4)):
             b ^= 1 << bit
-        keys = [set(simhash.chain_keys(np.array([x], dtype=np.uint64), rules)[0].tolist()) for x in (a, b)]
+        keys = [simhash.chain_keys(np.array([x], dtype=np.uint64), rules)[0].tolist() for x in (a, b)]
+        keys = [{k >> 1 for k in keys[0] if not k & 1}, {k >> 1 for k in keys[1]}]
         assert keys[0] & keys[1]
         assert simhash._near(np.array([a], dtype=np.uint64), np.array([b], dtype=np.uint64), rules, simhash.chain_masks(rules))[0]
 
