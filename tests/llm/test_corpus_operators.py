@@ -189,6 +189,34 @@ def test_sharding(spark):
     assert sharding.assign(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("groups", "size", "possible"), [(20, 80, 63_200), (40, 70, 77_280)])
+def test_sharding_keeps_links_when_shards_are_nearly_full(spark, groups, size, possible):
+    texts = [f"group {i % groups}" for i in range(groups * size)] + [f"single {i}" for i in range(3200 - groups * size)]
+    random.Random(0).shuffle(texts)
+    placed_rows = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = placed_rows.collect()
+    placed(rows, 3200, 16)
+    cells = collections.Counter((texts[r.doc_id], r.shard) for r in rows)
+    kept = sum(n * (n - 1) // 2 for n in cells.values())
+    assert kept >= 0.95 * possible
+    assert sharding.links_kept(placed_rows).first().asDict() == {"links": groups * size * (size - 1) // 2, "kept": kept}
+
+
+def test_sharding_large_groups_fill_shards_one_after_another(spark):
+    """A third of the rows in one group, two fifths in pairs: five shards and a part of a sixth hold the group, and nearly all pairs stay whole."""
+    texts = ["hot"] * 1600 + [f"pair {i // 2}" for i in range(1920)] + [f"single {i}" for i in range(1280)]
+    random.Random(1).shuffle(texts)
+    rows = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    placed(rows, 4800, 16)
+    hot = sorted((n for (t, _), n in collections.Counter((texts[r.doc_id], r.shard) for r in rows).items() if t == "hot"), reverse=True)
+    best = 5 * 300 * 299 // 2 + 100 * 99 // 2
+    assert sum(n * (n - 1) // 2 for n in hot) >= 0.9 * best
+    pairs = collections.defaultdict(set)
+    for r in rows:
+        pairs[texts[r.doc_id]].add(r.shard)
+    assert sum(len(s) == 1 for t, s in pairs.items() if t.startswith("pair")) >= 0.97 * 960
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T{n}</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
 <header><a href=/>Site</a></header><nav><ul><li><a href=/a>A{n}</a></ul></nav><div class="ad-banner">Buy {n}</div>
 <{tag}{mark}><h1>Head&eacute; {n}</h1><p>One <b>two</b>&nbsp;
