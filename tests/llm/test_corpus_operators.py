@@ -242,19 +242,69 @@ def test_extraction_of_copies_and_single_pages():
 
 
 def test_classes_nest():
-    pages = [extraction.parse(f"<html><body><ul>{'<li><a>x</a></li>' * (i + 1)}</ul><p>t{i}</p></body></html>") for i in range(5)]
-    found = extraction.deduce(pages, extraction.ExtractionRules())
-    assert found[0].parent is None and any("/html/body/ul/li" in c.tokens and c.parent is not None for c in found)
+    paths, rules = extraction.Paths(), extraction.ExtractionRules()
+    pages = [extraction.parse(f"<html><body><ul>{'<li><a>x</a></li>' * (i + 1)}</ul><p>t{i}</p></body></html>", paths) for i in range(5)]
+    found = extraction.deduce(pages, paths, rules)
+    names = lambda c: {paths.name[t >> 1] for t in c.tokens if isinstance(t, int)}
+    outer = next(i for i, c in enumerate(found.classes) if {"html", "body", "ul", "p"} <= names(c))
+    assert found.classes[outer].parent is None and any(names(c) == {"li"} and c.parent == outer for c in found.classes)
+    # Two elements whose order differs from page to page are no class together, but each is one.
+    pages = [extraction.parse("<nav>a</nav><div>b</div>" if i % 2 else "<div>b</div><nav>a</nav>", paths) for i in range(4)]
+    assert sorted(len(c.tokens) for c in extraction.deduce(pages, paths, rules).classes) == [2, 2]
+
+
+def test_the_template_decides(spark, monkeypatch):
+    """Without it, menus and footers stay, on pages with articles too: nothing else tells slots from the rest."""
+    htmls = [r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").limit(40).collect()]
+    rules = extraction.ExtractionRules()
+    with_template = extraction.extract_group(htmls, rules)
+    monkeypatch.setattr(extraction, "deduce", lambda *_: extraction.Template())
+    without = extraction.extract_group(htmls, rules)
+    assert all(a != b for a, b in zip(with_template, without, strict=True))
+
+
+def test_slots_of_plain_pages():
+    """Neither names nor article marks: what repeats and lists of links go, in every order of pages; what differs stays."""
+    rng = random.Random(5)
+    page = "<body><div><ul><li><a href=/a>Home {n}</a><li><a href=/b>News</a></ul></div><div><p>Our house on the web<p>{a}<p><a href=/x>{b}</a></div><div><p>All of it is ours, since {y}</div></body>"
+    words = lambda k: " ".join(rng.choice("sea land sky rain wind sun".split()) for _ in range(k))
+    texts = [(words(12), words(9)) for _ in range(12)]
+    htmls = [page.format(n=i, a=a, b=b, y=1999) for i, (a, b) in enumerate(texts)]
+    assert extraction.extract_group(htmls, extraction.ExtractionRules()) == [f"{a}\n{b}" for a, b in texts]
+
+
+def test_nothing_else_is_dropped():
+    """Formulas, an article's own header, linked paragraphs, words about hidden things, and text that copies of a page share."""
+    html = '<nav>m</nav><article><header><h1>H</h1><p>By {n}</p></header><math><mi>y</mi></math><p title="a hidden valley">In it</p><p><a href=x>All linked</a></p><svg><text>label</text></svg><p>Same words in every copy of this page, all of them.</p></article><footer>f</footer>'
+    want = "H\nBy {n}\ny\nIn it\nAll linked\nlabel\nSame words in every copy of this page, all of them."
+    got = extraction.extract_group([html.format(n=i) for i in range(9)], extraction.ExtractionRules())
+    assert [" ".join(t.split()) for t in got] == [" ".join(want.format(n=i).split()) for i in range(9)]
+    plain = extraction.extract_group(["<div><p>A paragraph that near copies have in common, a long one.<p>x%d</div>" % (i // 9) for i in range(9)], extraction.ExtractionRules())
+    assert all(t.startswith("A paragraph") for t in plain)
+    assert extraction.extract_group(["<p hidden>no</p><p>yes</p>", "<p aria-hidden=true>no</p><p>yes<div class=ad>no"], extraction.ExtractionRules()) == ["yes", "yes"]
+
+
+@pytest.mark.parametrize("part", ['<script x="', "<a ", "<a b='c\" ", "<p><b>", "</b><div>", "<li><ul>", "<x", "<!--", "<![x", "<table><td>"])
+def test_pages_are_read_in_time_in_proportion(part):
+    import time
+
+    began = time.process_time()
+    extraction.extract_group([part * 10_000], extraction.ExtractionRules())
+    short = time.process_time() - began
+    began = time.process_time()
+    extraction.extract_group([part * 40_000], extraction.ExtractionRules())
+    assert time.process_time() - began < 8 * short + 0.5
 
 
 def test_pages_of_the_table(spark):
+    """Against a reading that knows neither articles nor templates: what is left when named surroundings are cut out of the source."""
     import html as entities
     import re
 
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
     for r in extraction.query(spark, DIR).collect():
-        inside = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
-        blocks = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inside))
+        left = re.sub(r"<!--.*?-->|<(head|nav|footer|aside|form|script)\b.*?</\1>|<div class=\"[^\"]*\">.*?</div>", "", pages[r.page_id], flags=re.S)
+        blocks = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1|article|body|html|!DOCTYPE html)>", left))
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
