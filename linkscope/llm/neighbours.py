@@ -83,7 +83,7 @@ class VantageTree:
             some, may = some[near], may[near]
             row, column = np.nonzero(may)
             d = np.full(may.shape, np.inf)
-            d[row, column] = np.sqrt(((queries[some[row]] - self.vectors[a + column]) ** 2).sum(axis=-1))
+            d[row, column] = measured(queries[some[row]], self.vectors[a + column])
             all_d = np.concatenate([best[0][some], d], axis=1)
             all_ids = np.concatenate([best[1][some], np.broadcast_to(self.ids[a:b], d.shape)], axis=1)
             all_ids = np.where(np.isinf(all_d), -1, all_ids)
@@ -104,6 +104,14 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=-1))
 
 
+def measured(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each row of a to that of b; squares are added from the first dimension to the last, so that scores are the same everywhere."""
+    total = np.zeros(len(a))
+    for x in ((a - b) ** 2).T:
+        total += x
+    return np.sqrt(total)
+
+
 def _fit(vector: Column) -> Column:
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vector.isNotNull() & sound & F.exists(vector, lambda x: x != 0)

@@ -58,7 +58,7 @@ def _words(text: Column) -> Column:
 
 
 def line_stays(line: Column, rules: QualityRules) -> Column:
-    """Whether a line passes every rule. line: struct of bare (trimmed), marks (its symbols, separators and capitals) and n_words."""
+    """Whether a line passes every rule. line: struct of bare (trimmed, white space as one space), marks (its symbols, separators and capitals) and n_words."""
     bare, marks, n_words = line["bare"], line["marks"], line["n_words"]
     visible = F.length(bare) - n_words + 1
     fails = (
@@ -80,7 +80,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     # Each select makes arrays that the next one refers to more than once, so that no lambda makes them anew.
     bare = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.trim(x, F.lit(ASCII_SPACE)).alias("bare")))
     every = "".join(dict.fromkeys(SYMBOLS + NAVIGATION + "!?")) + r"\p{Lu}"
-    lines = F.transform(F.filter(bare, lambda x: x["bare"] != ""), lambda x: F.struct(x["line"].alias("line"), x["bare"].alias("bare"), F.regexp_replace(x["bare"], f"[^{every}]+", "").alias("marks"), (F.length(x["bare"]) - F.length(F.replace(x["bare"], F.lit(" "), F.lit(""))) + 1).alias("n_words")))
+    folded = F.transform(F.filter(bare, lambda x: x["bare"] != ""), lambda x: F.struct(x["line"].alias("line"), F.when(x["bare"].rlike(r"[\t-\r]|  "), F.regexp_replace(x["bare"], SPACES, " ")).otherwise(x["bare"]).alias("bare")))
+    lines = F.transform(folded, lambda x: F.struct(x["line"].alias("line"), x["bare"].alias("bare"), F.regexp_replace(x["bare"], f"[^{every}]+", "").alias("marks"), (F.length(x["bare"]) - F.length(F.replace(x["bare"], F.lit(" "), F.lit(""))) + 1).alias("n_words")))
     split = docs.select(quoted(id_col).alias("doc_id"), text.alias("text"), _words(text).alias("words"), lines.alias("lines"))
     # The last two windows are shorter, and so equal to none.
     windows = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
