@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkscope.llm.common import free_name, quoted, written
+from linkscope.llm.common import first_of_groups, quoted, written
 from linkscope.llm.graph import components
 
 SEED = 42
@@ -283,13 +283,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SimHashRules | None = None) -> DataFrame:
-    """One row of each group, with all its columns: that with the smallest id (an id is less than none), of rows that share it one."""
-    row, place = free_name(docs, "kept_row"), free_name(docs, "kept_place")
-    numbered = written(docs.select(F.monotonically_increasing_id().alias(place), F.struct(*[quoted(c) for c in docs.columns]).alias(row)), "numbered")
-    key = F.struct(F.col(row).getField(id_col).isNull().alias("none"), F.col(row).getField(id_col).alias("id"), F.col(place).alias("place"))
-    found = groups(numbered.select(key.alias("key"), F.col(row).getField(text_col).alias("text")), "key", "text", rules)
-    firsts = found.where("doc_id.place = component_id.place").select(F.col("doc_id.place").alias(place))
-    return numbered.join(firsts, place, "left_semi").select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
+    """One row of each group, with all its columns: that with the smallest id, of rows that share it one."""
+    return first_of_groups(docs, id_col, text_col, lambda *rows: groups(*rows, rules))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
