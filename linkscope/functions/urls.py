@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
 
 
 def part(url: Column, n: int) -> Column:

@@ -51,22 +51,22 @@ def test_highlight(spark):
     assert df.select(reports.highlight(F.col("c"), "rock & roll")).first()[0] == "a &lt;b&gt; <mark>Rock &amp; Roll</mark>"
 
 
-GARDEN = [
-    (11, "Growing Tomatoes", "Tomatoes need sun, water and rich soil. Ripe tomatoes taste best from your own vegetable garden."),
-    (12, "Compost Basics", "Compost feeds tomatoes and roses alike. Rich compost takes time, heat and water for the soil."),
-    (13, "Pruning Roses", "Roses need pruning in spring. Prune roses above a bud and feed the soil with compost."),
-    (15, "Attracting Birds", "Birds visit a vegetable garden for seeds, water and shelter near the soil."),
+WORKSHOP = [
+    (21, "Truing Wheels", "Wheels wobble when spokes loosen. True wheels roll straight and spare the rims of a touring bicycle."),
+    (22, "Winter Commuting", "Salt eats wheels and chains alike. Wash the chains, grease the spokes and check all wheels of a touring bicycle."),
+    (23, "Oiling Chains", "Chains last longer when clean. Oil chains after rain, wipe salt away and look for wear."),
+    (24, "Night Lights", "A touring bicycle needs lights at night, reflectors and a spare battery."),
 ]
 
 
-def garden():
-    return [suggest.Post(i, t, f"<p>{c}</p>", 10.0, frozenset()) for i, t, c in GARDEN]
+def workshop():
+    return [suggest.Post(i, t, f"<p>{c}</p>", 10.0, frozenset()) for i, t, c in WORKSHOP]
 
 
 def test_suggestions_of_a_small_corpus():
-    posts = garden()
-    got = suggest.for_source(posts[1], [p for p in posts if p.id != 12], EngineConfig())
-    assert {f["target"].id for f in got} >= {11, 13}
+    posts = workshop()
+    got = suggest.for_source(posts[1], [p for p in posts if p.id != 22], EngineConfig())
+    assert {f["target"].id for f in got} == {21, 23}
     assert all(f["keyword"].lower() in f["context"].lower() and 0 <= f["relevance"] <= 100 for f in got)
     assert len({f["keyword"].lower() for f in got}) == len(got) == len({f["target"].id for f in got})
 
