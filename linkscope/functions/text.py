@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +47,23 @@ def top_terms(weighted: DataFrame, k: int = 8) -> DataFrame:
     return weighted.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
+def vectors(weighted: DataFrame) -> DataFrame:
+    """A row a document: its terms with their weights, and the length of that vector."""
+    return weighted.groupBy("doc_id").agg(F.collect_list(F.struct("term", F.col("weight").alias("w"))).alias("vector"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+
+
+def dot(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds the dot product of two vectors of a row: sorted together, a term that both have stands twice in a row."""
+    met = df.withColumn("_both", F.sort_array(F.concat(a, b)))
+    pairs = F.transform("_both", lambda x, i: F.when(x["term"] == F.get("_both", i + 1)["term"], x["w"] * F.get("_both", i + 1)["w"]).otherwise(0.0))
+    return met.withColumn(name, F.aggregate(F.coalesce(pairs, F.array()), F.lit(0.0), lambda t, x: t + x)).drop("_both")
+
+
 def cosine(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
-    """pairs: (a, b) of documents. 0 where they share no term, 1 at most."""
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    left = weighted.select(F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa"))
-    right = weighted.select(F.col("doc_id").alias("b"), "term", F.col("weight").alias("wb"))
-    dots = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    met = pairs.join(dots, ["a", "b"], "left").join(norms.select(F.col("doc_id").alias("a"), F.col("norm").alias("na")), "a", "left").join(norms.select(F.col("doc_id").alias("b"), F.col("norm").alias("nb")), "b", "left")
+    """pairs: (a, b) of documents. 0 where they share no term, 1 at most. Vectors meet by document, so no term is a key of a join."""
+    made = vectors(weighted)
+    side = lambda x: made.select(F.col("doc_id").alias(x), F.col("vector").alias(f"v{x}"), F.col("norm").alias(f"n{x}"))
+    met = dot(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left"), "va", "vb", "dot")
     value = F.when(F.coalesce(F.col("dot"), F.lit(0.0)) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("dot") / (F.col("na") * F.col("nb"))))
     return met.select("a", "b", value.alias("cosine"))
 
@@ -98,12 +110,25 @@ def top_k(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
 def target_pool(sources: DataFrame, targets: DataFrame, excluded: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The newest targets of each source, without itself and the excluded.
 
-    sources: source; targets: target, age_days; excluded: source, target. No source can need more than the newest k + 1 + e targets, e the
-    most exclusions of a source; this bounded list, its size known from one aggregate, meets every source.
+    sources: source; targets: target, age_days; excluded: source, target. Every source meets the newest k + 1 targets. Only sources that lose
+    more than one of them to exclusions meet a list of twice the length, and so on, so that a source with very many exclusions makes nobody
+    else meet more targets.
     """
-    most = excluded.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    newest = targets.orderBy("age_days", F.desc("target")).limit(cfg.targets_per_source + 1 + most)
-    pairs = sources.join(F.broadcast(newest) if most <= 10_000 else newest).where("source != target")
-    left = pairs.join(excluded, ["source", "target"], "left_anti")
+    k, size, n_targets = cfg.targets_per_source, cfg.targets_per_source + 1, None
     order = Window.partitionBy("source").orderBy("age_days", F.desc("target"))
-    return left.select("source", "target", F.row_number().over(order).alias("rank")).where(F.col("rank") <= cfg.targets_per_source)
+    barred = excluded.unionByName(sources.select("source", F.col("source").alias("target"))).distinct()
+    todo, found = sources, []
+    while True:
+        newest = targets.orderBy("age_days", F.desc("target")).limit(size)
+        newest = F.broadcast(newest) if size <= 10_000 else newest
+        lost = barred.join(newest, "target", "left_semi")
+        left = todo.join(newest).join(lost, ["source", "target"], "left_anti")
+        ranked = left.select("source", "target", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+        short = todo.join(lost.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") > size - k).select("source"), "source", "left_semi")
+        more = short.count()
+        if more and n_targets is None:
+            n_targets = targets.count()
+        if not more or size >= n_targets:
+            return reduce(DataFrame.unionByName, [*found, ranked])
+        found.append(ranked.join(short, "source", "left_anti"))
+        todo, size = short, 2 * size

@@ -22,15 +22,22 @@ class _Anchors(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root: dict = {"tag": "", "text": [], "up": None}
+        self.parts: list[str] = []  # the page's text; a node's is the part of it from begin to end
+        self.root: dict = {"tag": "", "begin": 0, "end": None, "up": None}
         self.at, self.found = self.root, []
 
+    def _leave(self, node: dict) -> None:
+        """Ends the open nodes up to this one."""
+        while self.at is not node["up"]:
+            self.at["end"] = len(self.parts)
+            self.at = self.at["up"]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
             return
         if tag in ("p", "li") and self.at["tag"] == tag:
-            self.at = self.at["up"]
-        self.at = {"tag": tag, "text": [], "up": self.at}
+            self._leave(self.at)
+        self.at = {"tag": tag, "begin": len(self.parts), "end": None, "up": self.at}
         if tag == "a":
             self.found.append((dict(attrs).get("href"), self.at))
 
@@ -39,18 +46,15 @@ class _Anchors(HTMLParser):
         while node["up"] is not None and node["tag"] != tag:
             node = node["up"]
         if node["up"] is not None:
-            self.at = node["up"]
+            self._leave(node)
 
     def handle_data(self, data: str) -> None:
-        node = self.at
-        while node is not None:
-            node["text"].append(data)
-            node = node["up"]
+        self.parts.append(data)
 
     def links(self) -> list[dict]:
         out = []
         for href, node in self.found:
-            text = lambda n: "".join(n["text"]).strip()
+            text = lambda n: "".join(self.parts[n["begin"] : n["end"]]).strip()
             if not href or href == "0":
                 continue
             up = node["up"]
@@ -85,12 +89,15 @@ def extract_links(pages: DataFrame, id_col: str, url_col: str, html_col: str, cf
 
 
 def live_targets(found: DataFrame, posts: DataFrame) -> DataFrame:
-    """Adds target_id: the published post whose permalink the URL is, smallest id first; ?p= and ?page_id= name one by number."""
-    by_url = posts.where("status = 'publish'").groupBy(urls.comparable_url(F.col("permalink")).alias("key")).agg(F.min("id").alias("by_url"))
+    """Adds target_id: the published post or the attachment whose permalink the URL is, smallest id first; ?p=, ?page_id= and ?attachment_id= name one by number."""
+    seen = posts.where("status = 'publish' or (status = 'inherit' and type = 'attachment')")
+    by_url = seen.groupBy(urls.comparable_url(F.col("permalink")).alias("key")).agg(F.min("id").alias("by_url"))
     number = F.expr("try_cast(nullif(regexp_extract(url, '[?&](?:p|page_id|attachment_id)=([0-9]+)', 1), '') as bigint)")
-    ids = posts.where("status = 'publish'").select(F.col("id").alias("number"), F.col("id").alias("by_number"))
-    met = found.withColumns({"key": urls.comparable_url(F.col("url")), "number": number}).join(by_url, "key", "left").join(ids, "number", "left")
-    return met.withColumn("target_id", F.coalesce("by_url", "by_number")).drop("key", "number", "by_url", "by_number")
+    ids = seen.select(F.col("id").alias("number"), F.col("id").alias("by_number"))
+    met = found.withColumns({"key": urls.comparable_url(F.col("url")), "number": number}).join(by_url, "key", "left")
+    # Few URLs name a post by number; the others take no part in that join, where they would all have one key.
+    numbered = met.where("number is not null").join(ids, "number", "left").unionByName(met.where("number is null").withColumn("by_number", F.lit(None).cast("long")))
+    return numbered.withColumn("target_id", F.coalesce("by_url", "by_number")).drop("key", "number", "by_url", "by_number")
 
 
 def unpublished_targets(wanted: DataFrame, posts: DataFrame) -> DataFrame:

@@ -103,23 +103,40 @@ def link_badge(stats: DataFrame) -> DataFrame:
 
 
 def apply_outcome(suggestions: DataFrame, posts: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """What applying each suggestion would come to, by the guards in their order."""
+    """What applying each suggestion comes to, by the guards in their order, and the source's new content where it is applied."""
     src = posts.select(F.col("id").alias("s_id"), F.col("content").alias("s_content"), in_scope(cfg).alias("s_ok"))
-    tgt = posts.select(F.col("id").alias("t_id"), in_scope(cfg).alias("t_ok"))
+    tgt = posts.select(F.col("id").alias("t_id"), F.col("permalink").alias("t_url"), in_scope(cfg).alias("t_ok"))
     met = suggestions.join(src, F.col("source_post_id") == F.col("s_id"), "left").join(tgt, F.col("target_post_id") == F.col("t_id"), "left")
-    found = F.expr(r"s_content rlike concat('(?iu)(?<![\\p{L}\\p{N}\\p{M}_&])', '\\Q', keyword, '\\E', '(?![\\p{L}\\p{N}\\p{M}_])')")
-    code = (
+    guard = (
         F.when(F.col("status") != "pending", "not_pending")
+        .when(F.col("source_post_id") == F.col("target_post_id"), "same_post")
         .when(F.col("s_id").isNull() | F.col("t_id").isNull(), "post_missing")
         .when(~(F.col("s_ok") & F.col("t_ok")), "out_of_scope")
-        .when(~F.coalesce(found, F.lit(False)), "keyword_missing")
-        .otherwise("ok")
+        .when(F.trim("keyword") == "", "keyword_missing")
     )
-    return met.select("id", code.alias("outcome"))
+    shortcodes = cfg.shortcodes
 
+    @F.pandas_udf("string")
+    def linked(contents, keywords, urls):
+        import pandas as pd
 
-def set_status(suggestions: DataFrame, suggestion_id: int, status: str) -> DataFrame:
-    return suggestions.withColumn("status", F.when(F.col("id") == suggestion_id, F.lit(status)).otherwise(F.col("status")))
+        from linkscope.functions.linker import insert
+
+        return pd.Series([None if c is None or k is None else insert(c, k, u or "", shortcodes) for c, k, u in zip(contents, keywords, urls, strict=True)], dtype=object)
+
+    # The linker reads only what passes the guards.
+    guarded = met.select("id", guard.alias("guard"), F.when(guard.isNull(), F.col("s_content")).alias("content"), "keyword", "t_url")
+    tried = guarded.select("id", "guard", linked("content", "keyword", "t_url").alias("new_content"))
+    return tried.select("id", F.coalesce("guard", F.when(F.col("new_content").isNull(), "keyword_missing").otherwise("ok")).alias("outcome"), "new_content")
+
+
+def set_status(suggestions: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """changes: id, status. The table with the new statuses, and for each change whether it succeeded: the suggestion is there, the status a known one."""
+    wanted = changes.groupBy("id").agg(F.max("status").alias("new_status"))
+    known = F.col("new_status").isin("pending", "applied", "dismissed")
+    after = suggestions.join(wanted, "id", "left").withColumn("status", F.when(known, F.col("new_status")).otherwise(F.col("status"))).select(suggestions.columns)
+    done = wanted.join(suggestions.select("id", F.lit(True).alias("there")).distinct(), "id", "left").select("id", F.coalesce(F.col("there") & known, F.lit(False)).alias("succeeded"))
+    return after, done
 
 
 def highlight(context: Column, keyword: str) -> Column:

@@ -11,15 +11,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkscope.config import EngineConfig
-from linkscope.functions.keywords import APOSTROPHES, keyword_pattern, title_keywords, tokenise, top_terms, topic_phrases, trim_trailing_punctuation
-from linkscope.functions.linker import insert, keyword_context, matchable_text
+from linkscope.functions.keywords import APOSTROPHES, keyword_pattern, title_keywords, tokenise, topic_phrases, trim_trailing_punctuation
+from linkscope.functions.linker import keyword_context, matchable_text
 
 #: The most targets that a task may hold; more exclusions than this need the windowed pool of functions.text.target_pool.
 MAX_HELD = 20_000
@@ -30,11 +30,24 @@ MANY_SPELLINGS = frozenset("&" + APOSTROPHES)
 
 @dataclass
 class Post:
+    """held: tokens of the post, made once for all sources that meet it."""
+
     id: int
     title: str
     content: str
     age_days: float
     categories: frozenset
+    held: dict = field(default_factory=dict, repr=False)
+
+    def words(self, chars: int | None) -> list[str]:
+        if ("words", chars) not in self.held:
+            self.held["words", chars] = tokenise(html.unescape(self.title) + " " + html.unescape(self.strip(chars)))
+        return self.held["words", chars]
+
+    def scored_words(self, chars: int | None) -> list[str]:
+        if ("scored", chars) not in self.held:
+            self.held["scored", chars] = tokenise(self.title + " " + self.strip(chars))
+        return self.held["scored", chars]
 
     def strip(self, chars: int | None) -> str:
         raw = self.content[:chars] if chars else self.content
@@ -64,7 +77,7 @@ def heuristic(keyword: str, source: Post, target: Post) -> float:
 
 def candidates(source: Post, targets: list[Post], cfg: EngineConfig) -> list[dict]:
     """Phrases of each target, newest first, that the source's text holds where a link may stand."""
-    words = {p.id: tokenise(html.unescape(p.title) + " " + html.unescape(p.strip(cfg.text_chars))) for p in [source, *targets]}
+    words = {p.id: p.words(cfg.text_chars) for p in [source, *targets]}
     n, df = len(words), Counter(t for w in words.values() for t in set(w))
     own, common = set(words[source.id]), max(1, math.ceil(n / 2))
     text, probes, found = matchable_text(source.content, cfg.shortcodes), 0, []
@@ -97,7 +110,7 @@ def candidates(source: Post, targets: list[Post], cfg: EngineConfig) -> list[dic
 
 def scored(source: Post, found: list[dict], cfg: EngineConfig) -> list[dict]:
     """Relevance 0 to 100: cosine over the best one, and the heuristic."""
-    texts = [tokenise(source.title + " " + source.strip(None))] + [tokenise(f["target"].title + " " + f["target"].strip(cfg.text_chars)) for f in found]
+    texts = [source.scored_words(None), *(f["target"].scored_words(cfg.text_chars) for f in found)]
     first, *rest = _vectors(texts)
     cosines = [_cosine(first, v) for v in rest]
     best = max([0.0, *cosines])
@@ -147,9 +160,15 @@ def generate(sources: DataFrame, targets: DataFrame, excluded: DataFrame, cfg: E
     return rows.mapInPandas(run, "source_post_id long, target_post_id long, keyword string, context string, relevance_score double")
 
 
-def apply_to(content: str, keyword: str, url: str, cfg: EngineConfig) -> str | None:
-    return insert(content, keyword, url, cfg.shortcodes)
-
+def store(stored: DataFrame, generated: DataFrame, processed: DataFrame) -> DataFrame:
+    """The table of suggestions after a pass over the sources of processed (source_post_id).
 
-def terms_of(tokens: list[str], df: dict[str, int], n_docs: int, cfg: EngineConfig) -> dict[str, float]:
-    return top_terms(Counter(tokens), df, n_docs, cfg.top_terms)
+    Their pending suggestions go, applied and dismissed ones stay, and new ones come in as pending unless the pair was dismissed or applied.
+    Ids of new ones are hashes of source, target and keyword, which need no counter.
+    """
+    columns = ["id", "source_post_id", "target_post_id", "keyword", "relevance_score", "status"]
+    kept = stored.join(processed.select("source_post_id", F.lit(True).alias("in_pass")).distinct(), "source_post_id", "left").where("in_pass is null or status != 'pending'")
+    settled = stored.where("status in ('dismissed', 'applied')").select("source_post_id", "target_post_id").distinct()
+    fresh = generated.join(settled, ["source_post_id", "target_post_id"], "left_anti").join(processed.select("source_post_id").distinct(), "source_post_id", "left_semi")
+    new_id = F.xxhash64("source_post_id", "target_post_id", "keyword").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return kept.select(columns).unionByName(fresh.select(new_id.alias("id"), "source_post_id", "target_post_id", "keyword", "relevance_score", F.lit("pending").alias("status")))

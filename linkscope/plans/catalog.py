@@ -135,7 +135,42 @@ def _incremental(s: SparkSession, d: str) -> DataFrame:
     changed = now.where("source_post_id % 10 = 1").select(F.col("source_post_id").alias("post_id")).distinct()
     old = now.where("source_post_id % 10 != 1").unionByName(now.where("source_post_id % 10 = 1 and pos = 1").withColumn("target_post_id", F.col("target_post_id") + 1))
     fresh = now.where("source_post_id % 10 = 1")
-    return changes.recount(changes.replace_links(old, changed, fresh), old, stats.compute(old, posts, CFG), changed, posts, CFG)
+    return changes.recount(changes.replace_links(old, changed, fresh), old, stats.compute(old, posts, CFG), changed, posts, CFG, changed.limit(0))
+
+
+def _lifecycle(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every tenth post saved with its first two links alone, every tenth trashed, deleted and published: index and figures brought up to date."""
+    before, k = T.posts(s, d), F.col("id") % 10
+    links_before = scope.prune(T.links(s, d), before, CFG)
+    after = before.where(k != 4).withColumn("status", F.when(k == 2, "trash").when(k == 5, "publish").otherwise(F.col("status")))
+    op = F.when(k == 1, "save").when(k == 2, "trash").when(k == 4, "delete").when(k == 5, "publish")
+    told = before.select(F.col("id").alias("post_id"), op.alias("op")).where("op is not null")
+    feed = told.select("post_id", F.lit(2).alias("seq"), "op").unionByName(told.select("post_id", F.lit(1).alias("seq"), F.lit("save").alias("op")))
+    fresh = T.links(s, d).where("source_post_id % 10 != 1 or pos <= 2")
+    return changes.apply_changes(links_before, stats.compute(links_before, before, CFG), feed, fresh, after, CFG)
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """A pass over the sources with even ids, whose first links stand for what was generated."""
+    made = T.links(s, d).where("pos = 1").select("source_post_id", "target_post_id", F.lit("anew").alias("keyword"), F.lit(50.0).alias("relevance_score"))
+    passed = T.posts(s, d).where("id % 2 = 0").select(F.col("id").alias("source_post_id"))
+    return suggest.store(T.suggestions(s, d), made, passed).select("source_post_id", "target_post_id", "keyword", "relevance_score", "status")
+
+
+def _status(s: SparkSession, d: str) -> DataFrame:
+    """Changes of every seventh id, many of them of no suggestion, every third to a status that is none."""
+    asked = T.suggestions(s, d).where("id % 7 = 0").select((F.col("id") + F.when(F.col("id") % 2 == 0, 9).otherwise(0)).alias("id"), F.when(F.col("id") % 3 == 0, "lost").otherwise("applied").alias("status"))
+    return reports.set_status(T.suggestions(s, d), asked)[1]
+
+
+def _build_index(s: SparkSession, d: str) -> DataFrame:
+    """Pages as posts whose address is the first link of their menu, some of them drafts or attachments."""
+    k, first = F.col("page_id"), F.regexp_extract("html", '<a href="/([^"]*)"', 1)
+    posts = T.read(s, d, "pages").select(
+        k.alias("id"), F.when(k % 5 == 3, "draft").when(k % 7 == 2, "inherit").otherwise("publish").alias("status"), F.when((k % 7 == 2) & (k % 5 != 3), "attachment").otherwise("post").alias("type"),
+        F.col("html").alias("content"), F.concat(F.lit(CFG.site_url + "/"), first, F.lit("/")).alias("permalink"), first.alias("slug"), F.lit(None).cast("string").alias("desired_slug"), F.array(F.lit(1).cast("long")).alias("category_ids"),
+    )
+    return links.build_index(posts, CFG).select("source_post_id", "pos", "target_post_id", "link_url")
 
 
 def _rerank(s: SparkSession, d: str) -> DataFrame:
@@ -194,6 +229,11 @@ def queries() -> dict[str, Query]:
         "insert_link": _insert_link,
         "suggestions": _suggestions,
         "incremental_stats": _incremental,
+        "lifecycle_stats": lambda s, d: _lifecycle(s, d)[1],
+        "lifecycle_links": lambda s, d: _lifecycle(s, d)[0],
+        "stored_suggestions": _stored,
+        "set_status": _status,
+        "build_index": _build_index,
         "rerank_override": _rerank,
     }
 

@@ -62,6 +62,21 @@ def w(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+#: The tables after the changes of lifecycle_stats: the links of posts that were in scope before and did not change, and those found anew.
+LATER = (
+    POSTS.replace("posts AS", "posts0 AS", 1),
+    LINKS.replace("links AS", "links0 AS", 1),
+    "posts AS (SELECT * REPLACE (CASE WHEN id % 10 = 2 THEN 'trash' WHEN id % 10 = 5 THEN 'publish' ELSE status END AS status) FROM posts0 WHERE id % 10 <> 4)",
+    SCOPED,
+    SCOPED.replace("scoped AS", "scoped0 AS", 1).replace("FROM posts", "FROM posts0"),
+    """links AS (
+  SELECT * FROM links0 WHERE source_post_id % 10 NOT IN (1, 2, 4, 5) AND source_post_id IN (SELECT id FROM scoped0)
+  UNION ALL SELECT * FROM links0 WHERE (source_post_id % 10 = 1 AND pos <= 2 OR source_post_id % 10 = 5) AND source_post_id IN (SELECT id FROM scoped))""",
+    COUNTS,
+    STATS,
+)
+PAGES = """posts AS (
+  SELECT page_id AS id, CASE WHEN page_id % 5 = 3 THEN 'draft' WHEN page_id % 7 = 2 THEN 'inherit' ELSE 'publish' END AS status, trim(regexp_extract(html, '<a href="/([^"]*)"', 1), '/') AS path FROM pages)"""
 GRAPH = (POSTS, LINKS, SCOPED, COUNTS, STATS)
 SQL = {
     "in_scope_posts": w(POSTS, SCOPED) + "SELECT id, status, type FROM scoped",
@@ -93,10 +108,11 @@ SQL = {
     "pending_suggestions": w(POSTS, SCOPED, SUGGESTIONS)
     + "SELECT g.id, source_post_id, target_post_id, s.title AS source_title, t.title AS target_title, relevance_score FROM suggestions g JOIN scoped s ON s.id = source_post_id JOIN scoped t ON t.id = target_post_id WHERE g.status = 'pending' ORDER BY relevance_score DESC, g.id LIMIT 50",
     "apply_outcome": w(POSTS, SCOPED, SUGGESTIONS)
-    + """SELECT g.id, CASE WHEN g.status <> 'pending' THEN 'not_pending' WHEN s.id IS NULL OR t.id IS NULL THEN 'post_missing'
+    + """SELECT id, outcome, CASE WHEN outcome = 'ok' THEN regexp_replace(content, '(?i)' || keyword, '<a href="https://example.test/post-' || target_post_id || '/">' || regexp_extract(content, '(?i)' || keyword) || '</a>') END AS new_content
+  FROM (SELECT g.id, g.keyword, g.target_post_id, s.content, CASE WHEN g.status <> 'pending' THEN 'not_pending' WHEN source_post_id = target_post_id THEN 'same_post' WHEN s.id IS NULL OR t.id IS NULL THEN 'post_missing'
   WHEN s.id NOT IN (SELECT id FROM scoped) OR t.id NOT IN (SELECT id FROM scoped) THEN 'out_of_scope'
   WHEN NOT coalesce(regexp_matches(s.content, '(?i)(^|[^\\p{L}\\p{N}\\p{M}_&])' || keyword || '($|[^\\p{L}\\p{N}\\p{M}_])'), false) THEN 'keyword_missing' ELSE 'ok' END AS outcome
-  FROM suggestions g LEFT JOIN posts s ON s.id = source_post_id LEFT JOIN posts t ON t.id = target_post_id""",
+  FROM suggestions g LEFT JOIN posts s ON s.id = source_post_id LEFT JOIN posts t ON t.id = target_post_id)""",
     "unpublished_targets": w(POSTS, LINKS) + "SELECT 'https://example.test' || link_url AS url, min(id) AS target_id FROM (SELECT DISTINCT link_url, target_post_id FROM links) JOIN posts ON id = target_post_id WHERE status IN ('draft', 'pending', 'future', 'trash') GROUP BY 1",
     "carried_targets": w(POSTS, LINKS)
     + "SELECT source_post_id, link_url, had AS target_id FROM (SELECT source_post_id, link_url, max_by(target_post_id, pos) AS had FROM links GROUP BY 1, 2) WHERE had NOT IN (SELECT id FROM posts WHERE status IN ('publish', 'private', 'inherit'))",
@@ -120,6 +136,19 @@ SQL = {
     "resolve_urls": w(HREFS, RESOLVED) + "SELECT source_id, CAST(pos AS INTEGER) AS pos, url FROM res",
     "internal_links": w(HREFS, RESOLVED) + "SELECT source_id, count(*) AS internal_links FROM res WHERE regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') = regexp_replace(lower(regexp_extract(base, '://([^/?#:]*)', 1)), '^www\\.', '') GROUP BY 1",
     "incremental_stats": w(*GRAPH) + "SELECT * FROM stats",
+    "lifecycle_stats": w(*LATER) + "SELECT * FROM stats",
+    "lifecycle_links": w(*LATER) + "SELECT * FROM links",
+    "stored_suggestions": w(POSTS, LINKS, SUGGESTIONS)
+    + """SELECT source_post_id, target_post_id, keyword, relevance_score::DOUBLE AS relevance_score, status FROM suggestions WHERE status <> 'pending' OR source_post_id NOT IN (SELECT id FROM posts WHERE id % 2 = 0)
+  UNION ALL SELECT source_post_id, target_post_id, 'anew', 50.0::DOUBLE, 'pending' FROM links l WHERE pos = 1 AND source_post_id IN (SELECT id FROM posts WHERE id % 2 = 0)
+  AND NOT EXISTS (SELECT 1 FROM suggestions g WHERE g.status <> 'pending' AND g.source_post_id = l.source_post_id AND g.target_post_id = l.target_post_id)""",
+    "set_status": w(SUGGESTIONS)
+    + """SELECT id, bool_or(there) AND max(status) = 'applied' AS succeeded FROM (SELECT a.id, a.status, a.id IN (SELECT id FROM suggestions) AS there
+  FROM (SELECT id + CASE WHEN id % 2 = 0 THEN 9 ELSE 0 END AS id, CASE WHEN id % 3 = 0 THEN 'lost' ELSE 'applied' END AS status FROM suggestions WHERE id % 7 = 0) a) GROUP BY id""",
+    "build_index": w(PAGES, HREFS)
+    + """SELECT source_id AS source_post_id, CAST(pos AS INTEGER) AS pos, coalesce(live, hidden) AS target_post_id, href AS link_url
+  FROM hrefs JOIN posts s ON s.id = source_id AND s.status = 'publish' LEFT JOIN (SELECT path, min(id) AS live FROM posts WHERE status <> 'draft' GROUP BY 1) a ON a.path = trim(href, '/')
+  LEFT JOIN (SELECT path, min(id) AS hidden FROM posts WHERE status = 'draft' GROUP BY 1) b ON b.path = trim(href, '/') WHERE coalesce(live, hidden) IS NOT NULL""",
     "rerank_override": w(SUGGESTIONS)
     + "SELECT source_post_id AS source, number, coalesce(CASE WHEN source_post_id % 3 <> 2 AND number % 2 = 1 THEN least(100, (source_post_id + number) % 140)::DOUBLE END, relevance_score) AS relevance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_post_id ORDER BY relevance_score DESC, id) AS INTEGER) AS number FROM suggestions)",
 }
