@@ -20,7 +20,7 @@ import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,34 +41,35 @@ class WarcRules:
 
 
 def resolved(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: WarcRules | None = None) -> DataFrame:
-    """Per row: page_id, url, html, digest, n_bytes, original and original_url (null for responses)."""
+    """Per row: page_id, url, html, digest, n_bytes, original and original_url (null for responses), row and original_row, which tell records of one id apart."""
     rules = rules or WarcRules()
     html = F.coalesce(quoted(html_col), F.lit(""))
-    slim = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
+    slim = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row"))
     large = slim.where(F.col("n_bytes") >= rules.min_bytes)
-    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
-    shared = written(large.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url")), "originals")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row", "url"))).alias("first")
+    shared = written(large.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url"), F.col("first.row").alias("original_row")), "originals")
     revisit = (F.col("n_bytes") >= rules.min_bytes) & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return slim.join(shared, "digest", "left").select(
-        "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "n_bytes", F.when(revisit, F.col("original")).alias("original"), F.when(revisit, F.col("original_url")).alias("original_url")
+        "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "n_bytes", F.when(revisit, F.col("original")).alias("original"), F.when(revisit, F.col("original_url")).alias("original_url"), "row", F.when(revisit, F.col("original_row")).alias("original_row")
     )
 
 
-def _name(page_id: object) -> str:
-    return f"<urn:x-page:{'' if page_id is None else quote(str(page_id))}>"
+def _name(page_id: object, row: int) -> str:
+    """A record's own name: rows that share a page_id are records of their own."""
+    return f"<urn:x-page:{'' if page_id is None else quote(str(page_id), safe='')}:{row}>"
 
 
 def _uri(url: str | None) -> str:
     return quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else "about:blank"
 
 
-def record(page_id: object, url: str | None, html: str | None, digest: str, n_bytes: int, original: object, original_url: str | None, level: int) -> bytes:
+def record(page_id: object, url: str | None, html: str | None, digest: str, n_bytes: int, original: object, original_url: str | None, row: int, original_row: int | None, level: int) -> bytes:
     """One gzip member: a response with its payload, or a revisit with the headers of the response alone."""
     payload = (html or "").encode("utf-8", "surrogatepass") if original is None else b""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_uri(url)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id, row)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_uri(url)}"]
     if original is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(original)}", f"WARC-Refers-To-Target-URI: {_uri(original_url)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(original, original_row)}", f"WARC-Refers-To-Target-URI: {_uri(original_url)}"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(payload)}", "", ""]
     return gzip.compress("\r\n".join(lines).encode() + http + payload + b"\r\n\r\n", level, mtime=0)
 
@@ -96,7 +97,7 @@ def write(records: DataFrame, folder: str | None = None, rules: WarcRules | None
             return pa.RecordBatch.from_pydict({"path": pa.array([f"{home}/{name}"]), "n_records": pa.array([n], pa.int64())})
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "html", "digest", "n_bytes", "original", "original_url")]
+            columns = [batch.column(c) for c in ("page_id", "url", "html", "digest", "n_bytes", "original", "original_url", "row", "original_row")]
             for row in range(batch.num_rows):
                 if out is None:
                     name, n, size = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0
@@ -146,7 +147,7 @@ def read_archive(stream: io.BufferedIOBase) -> Iterator[tuple[str, int, str, str
         if left or stream.read(4) != b"\r\n\r\n":
             raise ValueError("an archive ends inside a record")
         named = head["warc-payload-digest"].removeprefix("sha256:")
-        bare = lambda x: x.removeprefix("<urn:x-page:").removesuffix(">")
+        bare = lambda x: unquote(x.removeprefix("<urn:x-page:").removesuffix(">").rpartition(":")[0])
         if head["warc-type"] == "revisit":
             yield bare(head["warc-record-id"]), int(http["content-length"]), named, "revisit", bare(head["warc-refers-to"])
         else:

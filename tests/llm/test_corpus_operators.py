@@ -154,11 +154,16 @@ def test_warc(spark):
 
 def test_archives_are_standard(spark, tmp_path):
     import gzip
+    import re
 
     df = spark.createDataFrame([(1, "http://a/", "payload " * 30), (2, "http://b/", "payload " * 30)], "page_id long, url string, html string")
     texts = [gzip.open(r.path.removeprefix("file:"), "rb").read().decode() for r in warc.write(warc.resolved(df), str(tmp_path)).collect()]
     whole = "".join(texts)
-    assert whole.count("WARC/1.1\r\n") == 2 and "WARC-Type: revisit" in whole and "WARC-Refers-To: <urn:x-page:1>" in whole and whole.count("payload payload") >= 1
+    assert whole.count("WARC/1.1\r\n") == 2 and "WARC-Type: revisit" in whole and whole.count("payload payload") >= 1
+    named = lambda field, kind: re.search(rf"WARC-Type: {kind}\r\n(?:.*\r\n)*?{field}: (\S+)", whole)[1]
+    assert named("WARC-Refers-To", "revisit") == named("WARC-Record-ID", "response") != named("WARC-Record-ID", "revisit")
+    twice = "".join(gzip.open(r.path.removeprefix("file:"), "rb").read().decode() for r in warc.write(warc.resolved(df.unionByName(df)), str(tmp_path / "two")).collect())
+    assert len(set(re.findall(r"WARC-Record-ID: (\S+)", twice))) == 4
 
 
 def placed(rows, n, shards):

@@ -239,3 +239,35 @@ def test_language(spark):
     assert preds[1] == preds[2] == preds[5] == preds[9] == ("und", 0.0) and preds[3][0] == "en"
     assert language.confident(odd).columns == odd.columns
     assert language.train(odd.limit(0)) is None and language.predict(odd, None).where("lang_pred != 'und'").count() == 0
+
+
+def test_language_network_by_hand():
+    """The forward pass against loops over windows, filters and places, and the gradients against small steps."""
+    rules = language.LanguageRules(window=9, embedding=3, widths=(2, 3), filters=4)
+    network = language.ByteNetwork(rules, ["aa", "bb", "cc"])
+    for name in ("embed", "out", "bias"):
+        setattr(network, name, getattr(network, name).astype(np.float64))
+    network.kernels, network.shifts = [k.astype(np.float64) for k in network.kernels], [s + np.linspace(-0.1, 0.2, 4) for s in network.shifts]
+    rng = np.random.default_rng(3)
+    windows, labels = rng.integers(0, 256, (5, rules.window)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+    windows[0, 6:] = 0
+
+    def by_hand(window):
+        pooled = []
+        for width, kernel, shift in zip(rules.widths, network.kernels, network.shifts, strict=True):
+            for f in range(rules.filters):
+                answers = [sum(network.embed[window[at + j], e] * kernel[j * 3 + e, f] for j in range(width) for e in range(3)) for at in range(rules.window - width + 1)]
+                pooled.append(max(max(answers) + shift[f], 0))
+        z = [sum(h * network.out[i, c] for i, h in enumerate(pooled)) + network.bias[c] for c in range(3)]
+        return np.array(z) - np.log(sum(np.exp(z)))
+
+    assert np.allclose(network.log_softmax(windows), [by_hand(w) for w in windows])
+    loss = lambda: -network.log_softmax(windows)[np.arange(5), labels].mean()
+    for weight, gradient in zip(network.weights(), network.gradients(windows, labels), strict=True):
+        for place in [*zip(*np.nonzero(gradient), strict=True)][:6]:
+            weight[place] += 1e-5
+            above = loss()
+            weight[place] -= 2e-5
+            below = loss()
+            weight[place] += 1e-5
+            assert abs((above - below) / 2e-5 - gradient[place]) < 1e-6
