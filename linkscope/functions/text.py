@@ -112,23 +112,23 @@ def target_pool(sources: DataFrame, targets: DataFrame, excluded: DataFrame, cfg
 
     sources: source; targets: target, age_days; excluded: source, target. Every source meets the newest k + 1 targets. Only sources that lose
     more than one of them to exclusions meet a list of twice the length, and so on, so that a source with very many exclusions makes nobody
-    else meet more targets.
+    else meet more targets. The list is one row, filtered inside each source's row: pairs are neither shuffled nor ranked by a window.
     """
     k, size, n_targets = cfg.targets_per_source, cfg.targets_per_source + 1, None
-    order = Window.partitionBy("source").orderBy("age_days", F.desc("target"))
-    barred = excluded.unionByName(sources.select("source", F.col("source").alias("target"))).distinct()
     todo, found = sources, []
     while True:
         newest = targets.orderBy("age_days", F.desc("target")).limit(size)
-        newest = F.broadcast(newest) if size <= 10_000 else newest
-        lost = barred.join(newest, "target", "left_semi")
-        left = todo.join(newest).join(lost, ["source", "target"], "left_anti")
-        ranked = left.select("source", "target", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
-        short = todo.join(lost.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") > size - k).select("source"), "source", "left_semi")
-        more = short.count()
-        if more and n_targets is None:
-            n_targets = targets.count()
-        if not more or size >= n_targets:
-            return reduce(DataFrame.unionByName, [*found, ranked])
-        found.append(ranked.join(short, "source", "left_anti"))
-        todo, size = short, 2 * size
+        entries = F.sort_array(F.collect_list(F.struct("age_days", (-F.col("target")).alias("back"), "target")))
+        listed = newest.agg(F.transform(entries, lambda x: x["target"]).alias("listed"))  # one row
+        lost = excluded.join(newest.select("target"), "target", "left_semi").groupBy("source").agg(F.collect_set("target").alias("lost"))
+        left = F.filter("listed", lambda t: (t != F.col("source")) & ~F.coalesce(F.array_contains("lost", t), F.lit(False)))
+        held = todo.join(lost, "source", "left").join(F.broadcast(listed)).select("source", F.slice(left, 1, k).alias("pool"))
+        full = held if n_targets is not None and size >= n_targets else held.where(F.size("pool") == k)
+        found.append(full.select("source", F.posexplode("pool").alias("rank", "target")).select("source", "target", (F.col("rank") + 1).alias("rank")))
+        if full is held:
+            return reduce(DataFrame.unionByName, found)
+        todo = held.where(F.size("pool") < k).select("source")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        n_targets = targets.count() if n_targets is None else n_targets
+        size *= 2
