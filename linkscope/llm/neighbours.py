@@ -105,11 +105,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def measured(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distance of each row of a to that of b; squares are added from the first dimension to the last, so that scores are the same everywhere."""
-    total = np.zeros(len(a))
-    for x in ((a - b) ** 2).T:
-        total += x
-    return np.sqrt(total)
+    """Distance of each row of a to that of b."""
+    return np.sqrt(((a - b) ** 2).sum(axis=-1))
 
 
 def _fit(vector: Column) -> Column:
