@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkscope.config import TEXT_STOP_WORDS
+from linkscope.config import TEXT_STOP_WORDS, TITLE_STOP_WORDS
 
 POSTS = """posts AS (
   SELECT k AS id, CASE WHEN k % 11 = 3 THEN 'draft' WHEN k % 23 = 5 THEN 'trash' WHEN k % 29 = 7 THEN 'private' WHEN type = 'attachment' THEN 'inherit' ELSE 'publish' END AS status,
@@ -77,6 +77,50 @@ LATER = (
 )
 PAGES = """posts AS (
   SELECT page_id AS id, CASE WHEN page_id % 5 = 3 THEN 'draft' WHEN page_id % 7 = 2 THEN 'inherit' ELSE 'publish' END AS status, trim(regexp_extract(html, '<a href="/([^"]*)"', 1), '/') AS path FROM pages)"""
+#: The words of a title with the punctuation round them, and by a condition the runs of adjacent words.
+WORDS = r"""heads AS (SELECT doc_id, regexp_replace(title, '[\s?!.,;:…]+$', '') AS head FROM docs),
+cores AS (
+  SELECT doc_id, i, core, core <> '' AND regexp_matches(word, '^[^\p{L}\p{N}]') AS opens, core <> '' AND regexp_matches(word, '[^\p{L}\p{N}]$') AS closes
+  FROM (SELECT *, regexp_replace(regexp_replace(word, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '') AS core
+  FROM (SELECT doc_id, unnest(string_split(head, ' ')) AS word, generate_subscripts(string_split(head, ' '), 1) AS i FROM heads)))"""
+
+
+def runs(stays: str) -> str:
+    before = "coalesce(sum(CASE WHEN stays AND closes THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    cut = "sum(CASE WHEN NOT stays OR opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i)"
+    return f"runs AS (SELECT * FROM (SELECT doc_id, i, core, stays, {cut} + {before} AS run FROM (SELECT *, {stays} AS stays FROM cores)) WHERE stays)"
+
+
+def _edge(word: str) -> str:
+    return f"length({word}) >= 3 AND lower({word}) NOT IN ({STOP})"
+
+
+def plain(html: str) -> str:
+    """The text that may hold a link, of the tags that the pages use."""
+    for pattern, by in (
+        (r"(?is)<script\b[^>]*>.*?</script>", " "),
+        (r"(?is)<style\b[^>]*>.*?</style>", " "),
+        (r"(?s)<!--.*?-->", ""),
+        (r"(?is)<h1\b[^>]*>.*?</h1>", " "),
+        (r"(?i)</?(a|b)\b[^>]*>", ""),
+        (r"(?i)</?[a-z!][^>]*>", " "),
+        (r"[^\s@]+@[^\s@]+", " "),
+        (r"[ \t\r\n]+", " "),
+    ):
+        html = f"regexp_replace({html}, '{pattern}', '{by}', 'g')"
+    return f"trim({html})"
+
+
+#: What is passed over on the way to the place of a link: elements without links, tags; then the keyword between other characters than word ones.
+SKIP = r"<(?:script|style|title|h1|a)\b[^>]*>.*?</(?:script|style|title|h1|a)>|<!--.*?-->|</?(?:!doctype|html|head|meta|body|nav|ul|li|div|p|b|br|article|footer)\b[^>]*>"
+PLACES = rf"""places AS (
+  SELECT page_id, html, keyword, '(?is)^((?:{SKIP}|[^<])*?(?:{SKIP.replace("!doctype", "html")}|[^\p{{L}}\p{{N}}\p{{M}}_&<]))(' || keyword || ')([^\p{{L}}\p{{N}}\p{{M}}_]|$)' AS place
+  FROM (SELECT page_id, html, regexp_extract(html, '<p>[^<]*?([A-Za-z]{{4,}})', 1) AS keyword FROM pages))"""
+CONTEXTS = rf"""marked AS (SELECT page_id, keyword, CASE WHEN keyword <> '' AND regexp_matches(html, place) THEN {plain("regexp_replace(html, place, '" + chr(92) + "1' || chr(57344) || '" + chr(92) + "2' || chr(57345) || '" + chr(92) + "3')")} END AS text FROM places),
+cut AS (SELECT page_id, keyword, text, instr(text, chr(57344)) - 1 AS pos, instr(text, chr(57345)) - 1 AS stop, replace(replace(text, chr(57344), ''), chr(57345), '') AS bare FROM marked),
+part AS (SELECT *, substr(bare, greatest(0, pos - 100) + 1, stop - pos - 1 + 200) AS raw FROM cut),
+led AS (SELECT *, CASE WHEN pos <= 100 THEN raw WHEN instr(raw, ' ') BETWEEN 1 AND 20 THEN '...' || substr(raw, instr(raw, ' ') + 1) ELSE '...' || raw END AS lead_in FROM part),
+ended AS (SELECT *, CASE WHEN length(regexp_extract(lead_in, '(?s)^(.*) ', 1)) > length(lead_in) - 20 THEN regexp_extract(lead_in, '(?s)^(.*) ', 1) ELSE lead_in END AS body FROM led)"""
 GRAPH = (POSTS, LINKS, SCOPED, COUNTS, STATS)
 SQL = {
     "in_scope_posts": w(POSTS, SCOPED) + "SELECT id, status, type FROM scoped",
@@ -151,4 +195,23 @@ SQL = {
   LEFT JOIN (SELECT path, min(id) AS hidden FROM posts WHERE status = 'draft' GROUP BY 1) b ON b.path = trim(href, '/') WHERE coalesce(live, hidden) IS NOT NULL""",
     "rerank_override": w(SUGGESTIONS)
     + "SELECT source_post_id AS source, number, coalesce(CASE WHEN source_post_id % 3 <> 2 AND number % 2 = 1 THEN least(100, (source_post_id + number) % 140)::DOUBLE END, relevance_score) AS relevance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_post_id ORDER BY relevance_score DESC, id) AS INTEGER) AS number FROM suggestions)",
+    "title_keywords": w(DOCS, WORDS, runs("length(core) > 2 AND lower(core) NOT IN (" + ", ".join(f"'{t}'" for t in TITLE_STOP_WORDS) + ")"))
+    + """, whole AS (SELECT doc_id, any_value(head) AS keyword FROM heads JOIN cores USING (doc_id) WHERE core <> '' GROUP BY doc_id HAVING count(*) >= 3),
+first_run AS (SELECT doc_id, min(run) AS run FROM (SELECT doc_id, run FROM runs GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1),
+short AS (SELECT doc_id, array_to_string(list_slice(list(core ORDER BY i), 1, 3), ' ') AS keyword FROM runs JOIN first_run USING (doc_id, run) GROUP BY 1)
+SELECT doc_id, 0 AS pos, keyword FROM whole
+UNION ALL SELECT s.doc_id, CASE WHEN w.doc_id IS NULL THEN 0 ELSE 1 END, s.keyword FROM short s LEFT JOIN whole w ON w.doc_id = s.doc_id WHERE w.keyword IS NULL OR w.keyword <> s.keyword""",
+    "topic_phrases": w(TOKENS, WEIGHTS, DOCS, WORDS, runs("core <> ''"))
+    + f""", best AS (SELECT doc_id, term, tf, rank, length(term) >= 4 AND df <= greatest(1, ceil((SELECT count(*) FROM documents) / 2)) AS distinctive
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 12) DESC, term) AS rank FROM wt) WHERE rank <= 8),
+grams AS (SELECT doc_id, i, core AS a, lead(core) OVER r AS b, lead(core, 2) OVER r AS c FROM runs WINDOW r AS (PARTITION BY doc_id, run ORDER BY i)),
+found AS (SELECT doc_id, 1 AS kind, i, a || ' ' || b || ' ' || c AS phrase FROM grams WHERE c IS NOT NULL AND {_edge("a")} AND {_edge("c")}
+  UNION ALL SELECT doc_id, 2, i, a || ' ' || b FROM grams WHERE b IS NOT NULL AND {_edge("a")} AND {_edge("b")}
+  UNION ALL SELECT g.doc_id, 3, i, a FROM grams g JOIN best t ON t.doc_id = g.doc_id AND t.term = lower(a) AND distinctive WHERE {_edge("a")}
+  UNION ALL SELECT doc_id, 4, rank, term FROM best WHERE distinctive AND tf >= 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind, i) - 1 AS INTEGER) AS pos, phrase FROM found""",
+    "matchable_text": f"SELECT page_id, {plain('html')} AS matchable FROM pages",
+    "insert_link": w(PLACES)
+    + r"""SELECT page_id, keyword, CASE WHEN keyword <> '' AND regexp_matches(html, place) THEN regexp_replace(html, place, '\1<a href="https://example.test/?a=1&#038;b=2">\2</a>\3') END AS new_content FROM places""",
+    "keyword_context": w(PLACES, CONTEXTS) + "SELECT page_id, keyword, trim(CASE WHEN length(body) < length(bare) THEN body || '...' ELSE body END) AS context FROM ended",
 }
