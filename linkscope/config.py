@@ -37,4 +37,9 @@ class EngineConfig:
     anchor_chars: int = 255
     context_chars: int = 500
     text_chars: int = 4000
+    auto_scan: bool = True  # whether a saved post is scanned at once
+    #: Characters of a source's title and text, and of a candidate's title, excerpt and phrase, that the scorer reads.
+    prompt_source: tuple[int, int] = (150, 1500)
+    prompt_candidate: tuple[int, int, int] = (120, 240, 80)
+    type_labels: tuple[tuple[str, str], ...] = (("post", "Post"), ("page", "Page"), ("attachment", "Media"))
     shortcodes: tuple[str, ...] = ()

@@ -139,6 +139,14 @@ def set_status(suggestions: DataFrame, changes: DataFrame) -> tuple[DataFrame, D
     return after, done
 
 
+def type_label(kind: Column, cfg: EngineConfig) -> Column:
+    """The label of a post type, or the type itself if none is configured."""
+    label = F.when(F.lit(False), kind)
+    for name, shown in cfg.type_labels:
+        label = label.when(kind == name, F.lit(shown)) if shown else label
+    return label.otherwise(kind)
+
+
 def highlight(context: Column, keyword: str) -> Column:
     """The context as HTML text, the keyword marked."""
     import re

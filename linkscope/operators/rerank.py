@@ -8,12 +8,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkscope.config import EngineConfig
+
+
+#: What the scorer is asked for; its reply is read by ``scores``.
+ASKED = 'Give each numbered target a whole number from 0 to 100: the worth of a link to it from the source, for a reader. Reply with a JSON object such as {"1": 70} and nothing else.'
+
 
 def clip(text: Column, chars: int) -> Column:
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(flat) > chars, F.concat(F.substring(flat, 1, chars), F.lit("…"))).otherwise(flat)
 
 
+def prompts(sources: DataFrame, candidates: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """sources: source, title, text; candidates: source, number, title, excerpt, keyword. (source, prompt, n) of each source with candidates.
+
+    Only the front runners are asked for, so a prompt is bounded; nulls are empty texts.
+    """
+    part = lambda name, chars: clip(F.coalesce(name, F.lit("")), chars)
+    title, excerpt, phrase = (part(c, n) for c, n in zip(("title", "excerpt", "keyword"), cfg.prompt_candidate, strict=True))
+    line = F.concat("number", F.lit(") "), title, F.lit(" / "), excerpt, F.lit(" / anchor: "), phrase)
+    listed = candidates.where(F.col("number").between(1, cfg.front_runners)).select("source", F.struct("number", line.alias("line")).alias("row"))
+    asked = listed.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("row")).getField("line"), "\n").alias("lines"), F.count("*").cast("int").alias("n"))
+    head = [F.lit(ASKED + "\nSource: "), part("title", cfg.prompt_source[0]), F.lit("\n"), part("text", cfg.prompt_source[1]), F.lit("\nTargets:\n"), "lines"]
+    return sources.join(asked, "source").select("source", F.concat(*head).alias("prompt"), "n")
+
+
 def scores(replies: DataFrame) -> DataFrame:
     """replies: source, reply, n (candidates asked for). (source, number, score) of replies with at least half of the scores."""
     obj = F.regexp_extract("reply", r"(?s)\{[^{}]*\}", 0)

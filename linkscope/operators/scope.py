@@ -38,6 +38,11 @@ def prune(links: DataFrame, posts: DataFrame, cfg: EngineConfig) -> DataFrame:
     return links.join(scoped(posts, cfg).select(F.col("id").alias("source_post_id")), "source_post_id", "left_semi")
 
 
+def linking_sources(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets: target_post_id. Every post that links to one of them."""
+    return links.join(targets.select("target_post_id").distinct(), "target_post_id", "left_semi").select("source_post_id").distinct()
+
+
 def affected(links: DataFrame, stats: DataFrame) -> DataFrame:
     """Every post that a recount must look at: sources, targets and those with figures."""
     ids = links.select(F.col("source_post_id").alias("post_id")).union(links.select("target_post_id")).union(stats.select("post_id"))

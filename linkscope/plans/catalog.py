@@ -183,6 +183,14 @@ def _rerank(s: SparkSession, d: str) -> DataFrame:
     return rerank.override(cands, rerank.scores(asked.select("source", reply.alias("reply"), "n")))
 
 
+def _prompts(s: SparkSession, d: str) -> DataFrame:
+    """Each document as a source, its three successors as candidates with their first title words as the phrase."""
+    docs = T.documents(s, d)
+    found = docs.select(F.col("doc_id").alias("target"), "title", F.col("text").alias("excerpt"), F.array_join(F.slice(F.split("title", " "), 1, 3), " ").alias("keyword"))
+    cands = _pools(s, d).join(found, "target").withColumn("number", (F.col("target") - F.col("source")).cast("int"))
+    return rerank.prompts(docs.select(F.col("doc_id").alias("source"), "title", "text"), cands, CFG)
+
+
 def queries() -> dict[str, Query]:
     return {
         "in_scope_posts": lambda s, d: scope.scoped(T.posts(s, d), CFG).select("id", "status", "type"),
@@ -190,6 +198,8 @@ def queries() -> dict[str, Query]:
         "prune_index": lambda s, d: scope.prune(T.links(s, d), T.posts(s, d), CFG),
         "outbound_counts": lambda s, d: stats.outbound(T.links(s, d)),
         "inbound_counts": lambda s, d: stats.inbound(T.links(s, d)),
+        "linking_sources": lambda s, d: scope.linking_sources(T.links(s, d), T.posts(s, d).where("status = 'draft'").select(F.col("id").alias("target_post_id"))),
+        "post_type_labels": lambda s, d: T.posts(s, d).select("id", reports.type_label(F.col("type"), CFG).alias("label")),
         "affected_posts": lambda s, d: scope.affected(T.links(s, d), _stats(s, d)),
         "orphan_scores": _stats,
         "orphan_priority": lambda s, d: _stats(s, d).select("post_id", stats.priority(F.col("orphan_score")).alias("priority")),
@@ -234,6 +244,7 @@ def queries() -> dict[str, Query]:
         "stored_suggestions": _stored,
         "set_status": _status,
         "build_index": _build_index,
+        "scorer_prompts": _prompts,
         "rerank_override": _rerank,
     }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from linkscope.config import TEXT_STOP_WORDS, TITLE_STOP_WORDS
+from linkscope.operators.rerank import ASKED
 
 POSTS = """posts AS (
   SELECT k AS id, CASE WHEN k % 11 = 3 THEN 'draft' WHEN k % 23 = 5 THEN 'trash' WHEN k % 29 = 7 THEN 'private' WHEN type = 'attachment' THEN 'inherit' ELSE 'publish' END AS status,
@@ -77,6 +78,11 @@ LATER = (
 )
 PAGES = """posts AS (
   SELECT page_id AS id, CASE WHEN page_id % 5 = 3 THEN 'draft' WHEN page_id % 7 = 2 THEN 'inherit' ELSE 'publish' END AS status, trim(regexp_extract(html, '<a href="/([^"]*)"', 1), '/') AS path FROM pages)"""
+def _clip(text: str, chars: int) -> str:
+    flat = f"trim(regexp_replace(coalesce({text}, ''), '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({flat}) > {chars} THEN substr({flat}, 1, {chars}) || '…' ELSE {flat} END"
+
+
 #: The words of a title with the punctuation round them, and by a condition the runs of adjacent words.
 WORDS = r"""heads AS (SELECT doc_id, regexp_replace(title, '[\s?!.,;:…]+$', '') AS head FROM docs),
 cores AS (
@@ -128,6 +134,8 @@ SQL = {
     "prune_index": w(POSTS, LINKS, SCOPED) + "SELECT * FROM links WHERE source_post_id IN (SELECT id FROM scoped)",
     "outbound_counts": w(LINKS, COUNTS) + "SELECT * FROM outb",
     "inbound_counts": w(LINKS, COUNTS) + "SELECT * FROM inb",
+    "linking_sources": w(POSTS, LINKS) + "SELECT DISTINCT source_post_id FROM links WHERE target_post_id IN (SELECT id FROM posts WHERE status = 'draft')",
+    "post_type_labels": w(POSTS) + "SELECT id, CASE type WHEN 'post' THEN 'Post' WHEN 'page' THEN 'Page' WHEN 'attachment' THEN 'Media' ELSE type END AS label FROM posts",
     "affected_posts": w(*GRAPH) + "SELECT source_post_id AS post_id FROM links UNION SELECT target_post_id FROM links UNION SELECT post_id FROM stats",
     "orphan_scores": w(*GRAPH) + "SELECT * FROM stats",
     "orphan_priority": w(*GRAPH) + "SELECT post_id, CASE WHEN orphan_score > 5 THEN 'high' WHEN orphan_score > 2 THEN 'medium' ELSE 'low' END AS priority FROM stats",
@@ -195,6 +203,10 @@ SQL = {
   LEFT JOIN (SELECT path, min(id) AS hidden FROM posts WHERE status = 'draft' GROUP BY 1) b ON b.path = trim(href, '/') WHERE coalesce(live, hidden) IS NOT NULL""",
     "rerank_override": w(SUGGESTIONS)
     + "SELECT source_post_id AS source, number, coalesce(CASE WHEN source_post_id % 3 <> 2 AND number % 2 = 1 THEN least(100, (source_post_id + number) % 140)::DOUBLE END, relevance_score) AS relevance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_post_id ORDER BY relevance_score DESC, id) AS INTEGER) AS number FROM suggestions)",
+    "scorer_prompts": w(DOCS, POOLS)
+    + f"""SELECT p.source, '{ASKED}' || chr(10) || 'Source: ' || any_value({_clip("s.title", 150)}) || chr(10) || any_value({_clip("s.text", 1500)}) || chr(10) || 'Targets:' || chr(10)
+  || string_agg((p.target - p.source) || ') ' || ({_clip("t.title", 120)}) || ' / ' || ({_clip("t.text", 240)}) || ' / anchor: ' || ({_clip("array_to_string(list_slice(string_split(t.title, ' '), 1, 3), ' ')", 80)}), chr(10) ORDER BY p.target) AS prompt,
+  CAST(count(*) AS INTEGER) AS n FROM pool p JOIN docs s ON s.doc_id = p.source JOIN docs t ON t.doc_id = p.target GROUP BY p.source""",
     "title_keywords": w(DOCS, WORDS, runs("length(core) > 2 AND lower(core) NOT IN (" + ", ".join(f"'{t}'" for t in TITLE_STOP_WORDS) + ")"))
     + """, whole AS (SELECT doc_id, any_value(head) AS keyword FROM heads JOIN cores USING (doc_id) WHERE core <> '' GROUP BY doc_id HAVING count(*) >= 3),
 first_run AS (SELECT doc_id, min(run) AS run FROM (SELECT doc_id, run FROM runs GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1),

@@ -61,8 +61,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "text", F.col("source").alias("category"), F.array_join(words, " ").alias("title"), (F.col("doc_id") % 120).alias("age_days"))
 
 
-def overwrite(df: DataFrame, folder: str, version: str) -> str:
-    """A rebuilt table under a folder of its own; readers are pointed to it once it is whole."""
+def publish(df: DataFrame, folder: str, version: str) -> str:
+    """A rebuilt table under a folder of its own, to which readers are pointed once it is whole.
+
+    The pointer is an empty file in ``folder``/_current, made in one step after the rows; a job that dies before leaves readers with the
+    version before.
+    """
     path = f"{folder.rstrip('/')}/{version}"
     df.write.mode("overwrite").parquet(path)
+    files, pointers = _files(df.sparkSession, f"{folder.rstrip('/')}/_current")
+    last = max((int(n.split("=")[0]) for n in _names(files, pointers)), default=0)
+    files.create(df.sparkSession._jvm.org.apache.hadoop.fs.Path(pointers, f"{last + 1:012d}={version}"), False).close()
     return path
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The version that was published last."""
+    names = sorted(_names(*_files(spark, f"{folder.rstrip('/')}/_current")))
+    if not names:
+        raise FileNotFoundError(f"nothing was published in {folder}")
+    return spark.read.parquet(f"{folder.rstrip('/')}/{names[-1].split('=', 1)[1]}")
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _names(files, where) -> list[str]:
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []

@@ -62,9 +62,9 @@ def apply_changes(links: DataFrame, old_stats: DataFrame, changes: DataFrame, fr
     """Links and figures after a batch of changes (post_id, seq, op); posts is the table after it, fresh the links found in it.
 
     A saved, published or restored post has its fresh links, if it is in scope; one that left publication, was trashed or deleted has none
-    and no figures. Links that point at a removed post stay, to be reported as broken.
+    and no figures. Without auto_scan, saves are left to the next full scan. Links that point at a removed post stay, to be reported as broken.
     """
-    changed = latest(changes)
+    changed = latest(changes if cfg.auto_scan else changes.where("op != 'save'"))
     again = changed.where(F.col("op").isin(*LINKED_AGAIN)).select(F.col("post_id").alias("source_post_id"))
     found = prune(fresh.join(again, "source_post_id", "left_semi"), posts, cfg)
     now = replace_links(links, changed, found)

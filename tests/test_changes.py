@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from linkscope.config import EngineConfig
 from linkscope.operators import reports, stats, suggest
 from linkscope.operators.scope import prune
+from linkscope.sources import tables
 from linkscope.streaming import changes
 
 CFG = EngineConfig()
@@ -78,3 +79,31 @@ def test_apply_goes_through_the_linker(spark):
     assert got[1] == ("ok", texts[1].replace("Rain falls", '<a href="https://example.test/2/?a&#038;b">Rain</a> falls'))
     assert got[3][0] == "ok" and r"a\Eb</a> rain\Q" in got[3][1]
     assert {i: got[i] for i in (2, 4, 5, 6, 7, 8)} == {2: ("keyword_missing", None), 4: ("same_post", None), 5: ("out_of_scope", None), 6: ("post_missing", None), 7: ("keyword_missing", None), 8: ("not_pending", None)}
+
+
+def test_saves_wait_without_auto_scan(spark):
+    links = spark.createDataFrame(LINKS, LINK)
+    feed = spark.createDataFrame([(1, 1, "save"), (3, 1, "trash")], "post_id long, seq long, op string")
+    now, _ = changes.apply_changes(links, stats.compute(links, posts(spark), CFG), feed, spark.createDataFrame([(1, 8, 1)], LINK), posts(spark, {3: "trash"}), EngineConfig(auto_scan=False))
+    assert sorted(map(tuple, now.select("source_post_id", "target_post_id", "pos").collect())) == sorted(x for x in LINKS if x[0] != 3)
+
+
+def test_stream_of_changes_publishes_versions(spark, tmp_path):
+    """Micro-batches of a change feed, each with its posts' last changes; readers see the version published last."""
+    row = "post_id long, seq long, op string"
+    spark.createDataFrame([(1, 1, "save"), (1, 2, "trash"), (2, 1, "save")], row).coalesce(1).write.parquet(str(tmp_path / "feed"))
+    seen = []
+
+    def handle(batch, n):
+        seen.append(sorted(map(tuple, batch.collect())))
+        tables.publish(batch, str(tmp_path / "table"), f"v{n}")
+
+    feed = spark.readStream.schema(row).parquet(str(tmp_path / "feed"))
+    for more in ([], [(2, 5, "delete")]):
+        if more:
+            spark.createDataFrame(more, row).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        changes.stream_of(feed, handle, str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination(60)
+        assert sorted(map(tuple, tables.current(spark, str(tmp_path / "table")).collect())) == seen[-1]
+    assert seen == [[(1, "trash"), (2, "save")], [(2, "delete")]]
+    with pytest.raises(FileNotFoundError):
+        tables.current(spark, str(tmp_path / "none"))

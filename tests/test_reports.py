@@ -95,3 +95,20 @@ def test_latest_change(spark, op):
 
     df = spark.createDataFrame([(1, 1, "status"), (1, 2, op), (2, 1, "save")], "post_id long, seq long, op string")
     assert {r.post_id: r.op for r in latest(df).collect()} == {1: op, 2: "save"}
+
+
+def test_scorer_is_asked_and_may_fail(spark):
+    sources = spark.createDataFrame([(1, "One  title", "t " * 1000), (2, None, None), (3, "Three", "no candidates")], "source long, title string, text string")
+    cands = spark.createDataFrame([(1, n, f"T{n}", "e" * 500, "k", float(n)) for n in range(1, 15)] + [(2, 1, None, None, None, 7.0)], "source long, number int, title string, excerpt string, keyword string, relevance double")
+    asked = rerank.prompts(sources, cands, EngineConfig())
+    got = {r.source: r for r in asked.collect()}
+    assert {k: r.n for k, r in got.items()} == {1: 12, 2: 1}
+    assert "Source: One title\n" in got[1].prompt and "\n2) T2 / " + "e" * 240 + "… / anchor: k\n3)" in got[1].prompt and len(got[1].prompt) < 6000
+
+    def scorer(prompt):
+        if "One title" not in prompt:
+            raise OSError("not reached")
+        return 'As asked: {"1": 250, "2": "12.7", "3": "high", ' + ", ".join(f'"{n}": {n}' for n in range(4, 15)) + "}"
+
+    after = {(r.source, r.number): r.relevance for r in rerank.override(cands.select("source", "number", "relevance"), rerank.scores(rerank.ask(asked, scorer))).collect()}
+    assert after[1, 1] == 100 and after[1, 2] == 12 and after[1, 3] == 3 and after[1, 12] == 12 and after[1, 13] == 13 and after[2, 1] == 7
