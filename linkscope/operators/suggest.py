@@ -1,7 +1,7 @@
 """Suggestions for new links: candidate phrases of the newest targets, found in each source, scored and chosen.
 
-The newest targets are a bounded list (targets a source may have, and the most exclusions of one source), so each task holds them with
-their texts cut to cfg.text_chars, and the sources stream past.
+The newest targets are a bounded list (targets a source may have, and the most that one source has to pass over), so each task holds them
+with their texts cut to cfg.text_chars, and the sources stream past.
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkscope.config import EngineConfig
 from linkscope.functions.keywords import APOSTROPHES, keyword_pattern, title_keywords, tokenise, topic_phrases, trim_trailing_punctuation
 from linkscope.functions.linker import keyword_context, matchable_text
 
-#: The most targets that a task may hold; more exclusions than this need the windowed pool of functions.text.target_pool.
+#: The most targets that a task may hold; sources that exclude more of the newest need the windowed pool of functions.text.target_pool.
 MAX_HELD = 20_000
 
 
@@ -135,12 +135,27 @@ def for_source(source: Post, targets: list[Post], cfg: EngineConfig) -> list[dic
     return choose(scored(source, candidates(source, targets, cfg), cfg), cfg.suggestions_per_source)
 
 
+def passed_over(targets: DataFrame, excluded: DataFrame, wanted: int) -> int:
+    """The most targets that one source has to pass over before it has met ``wanted`` others, newest first.
+
+    Exclusions of older targets count for nothing, however many a source has.
+    """
+    order = ["age_days", F.desc("id")]
+    newest = targets.select("id", "age_days").orderBy(*order).limit(wanted + MAX_HELD + 1)
+    ranked = newest.select(F.col("id").alias("target"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    hits = excluded.select("source", "target").distinct().join(F.broadcast(ranked), "target")  # bounded by MAX_HELD ids
+    turn = F.row_number().over(Window.partitionBy("source").orderBy("rank"))
+    counted = hits.withColumn("turn", turn).where(F.col("rank") - F.col("turn") < wanted).groupBy("source").count()
+    return counted.agg(F.max("count")).first()[0] or 0
+
+
 def generate(sources: DataFrame, targets: DataFrame, excluded: DataFrame, cfg: EngineConfig) -> DataFrame:
     """sources and targets: id, title, content, age_days, categories; excluded: source, target (linked or dismissed)."""
-    most = excluded.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    wanted = cfg.targets_per_source + 1  # one may be the source itself
+    most = passed_over(targets, excluded, wanted)
     if most > MAX_HELD:
-        raise ValueError("one source has more exclusions than a task may hold targets")
-    newest = targets.orderBy("age_days", F.desc("id")).limit(cfg.targets_per_source + 1 + most)
+        raise ValueError("one source excludes more of the newest targets than a task may hold")
+    newest = targets.orderBy("age_days", F.desc("id")).limit(wanted + most)
     cut = newest.withColumn("content", F.substring("content", 1, cfg.text_chars))
     held = [Post(r["id"], r["title"] or "", r["content"] or "", float(r["age_days"]), frozenset(r["categories"] or ())) for r in cut.collect()]  # bounded by MAX_HELD texts
     known = sources.sparkSession.createDataFrame([(p.id,) for p in held], "target long")

@@ -112,3 +112,16 @@ def test_scorer_is_asked_and_may_fail(spark):
 
     after = {(r.source, r.number): r.relevance for r in rerank.override(cands.select("source", "number", "relevance"), rerank.scores(rerank.ask(asked, scorer))).collect()}
     assert after[1, 1] == 100 and after[1, 2] == 12 and after[1, 3] == 3 and after[1, 12] == 12 and after[1, 13] == 13 and after[2, 1] == 7
+
+
+def test_only_exclusions_of_the_newest_make_the_pool_longer(spark):
+    targets = spark.createDataFrame([(i, float(i)) for i in range(60)], "id long, age_days double")
+    cases = {1: range(5, 60), 2: [], 3: [0, 1, 2], 4: [*range(4), 4, 6, 8, 50], 5: [0, 0, 0], 6: range(60)}
+    for wanted in (3, 5):
+        for source, barred in cases.items():
+            met = over = 0
+            for i in range(60):
+                if met < wanted:
+                    over, met = over + (i in set(barred)), met + (i not in set(barred))
+            got = suggest.passed_over(targets, spark.createDataFrame([(source, b) for b in barred], "source long, target long"), wanted)
+            assert got == over, (source, wanted)
