@@ -33,6 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of texts that share 0.8 of their five-word shingles, directly or in chains.
 
+    SimHash by pigeonring filtering finds the candidates, whose whole sets of shingles are then compared.
     Null, empty and wordless texts are copies of each other; repeated rows are copies, and one of them stays; rows without an id come last
     in their group, and are kept if they are alone in it; rows that share an id but no text are told apart; empty tables give empty results;
     other columns are kept.

@@ -1,15 +1,26 @@
-"""Near copies by the shingles that texts share: MinHash candidates, then the exact Jaccard similarity.
-
-Texts whose sets of five-word shingles have a similarity of 0.8 or more are linked. Equal sets are folded into one node. Each node is filed
-under ``bands`` keys, each made of ``rows`` minima; a pair at 0.8 shares none with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8, a closer pair
-with less. Nothing is linked by a key alone: the pairs of a key are checked on the whole sets.
-
-Keys are counted before they are grouped. A key of more than ``run_limit`` nodes would be a block of all pairs; it is settled in rounds
-instead. A round picks some of its nodes as pivots, from those outside its largest group, compares all its nodes with them, and joins the
-groups that near copies connect. A pivot has then met every node of the key and leaves it, so a key is done once the nodes left in it are of
-one group: a group of near copies of any size takes few pivots. The rows of a key are dealt to ``PARTS`` parts, and each round has twice the
-pivots of the one before. A key whose nodes left hold at most ``task_nodes`` sets and ``task_shingles`` shingles goes to one task, which
-searches them breadth first. Every pair of near copies with a common key so ends in one group, and no task holds a key beyond that bound.
+"""Near copies by the shingles that texts share: SimHash by pigeonring filtering for candidates, then the exact Jaccard similarity.
+
+Texts whose sets of five-word shingles have a similarity of 0.8 or more are linked. Equal sets are folded into one node. A bit of a long
+SimHash fingerprint is 1 if over half the shingles' hashes have it set. Sets at 0.8 differ in at most 16.1 % of the bits (in 15.2 % if they
+are large, in 18.8 % if they have up to ``SMALL`` shingles; by enumeration of all such pairs up to 260 shingles), so 4 bits of 64 don't do.
+
+The fingerprint is a ring of ``bands`` segments of ``rows`` bits. Each node is filed under every segment, with the 128 bits that follow it
+round the ring. Nodes with an equal segment are a run; of a run, the pairs go on whose chain from that segment keeps its budget, a quarter of
+its bits, at each of its lengths: the segment, 64 bits more, and 128 bits more. Of a hundred million pairs of unrelated sets four pass. There
+are as many segments as leave a chance of about ``MISS`` to miss a pair at 0.8; closer pairs are missed less, and sets of up to SMALL shingles
+have more segments. Segments are wider for large tables, so that a run holds some 2^14 nodes. Nothing is linked by a fingerprint alone:
+candidates are checked on the whole sets.
+
+Nodes of a run that candidates join in more than ``run_limit`` would be a block of all pairs; they are a crowded key. In a run of over
+``DENSE`` nodes leaders find dense groups first, so that a large group is compared with the others only. A run of over ``run_rows`` nodes is
+dealt to parts, and each two parts make a run.
+
+Crowded keys are settled in rounds. A round picks some of a key's nodes as pivots, from those outside its largest group, compares all its
+nodes with them, and joins the groups that near copies connect. A pivot has then met every node of the key and leaves it, so a key is done
+once the nodes left in it are of one group: a group of near copies of any size takes few pivots. The rows of a key are dealt to ``PARTS``
+parts, and each round has twice the pivots of the one before. A key whose nodes left hold at most ``task_nodes`` sets and ``task_shingles``
+shingles goes to one task, which searches them breadth first. Every pair of near copies among the candidates so ends in one group, and no
+task holds a run or a key beyond these bounds.
 
 Defined results: words are parted by ASCII white space and compared in ASCII lower case; a text of fewer words than a shingle is one shingle;
 null, empty and wordless texts have the empty set, and are copies of each other; repeated rows are copies; ``groups`` leaves out
@@ -21,7 +32,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +43,23 @@ from pyspark.sql import functions as F
 
 from linkscope.llm.common import first_of_groups, quoted, written
 from linkscope.llm.graph import components
+from linkscope.llm.simhash import forest
 
 SEED = 42
-#: Shingles whose minima are taken at a time.
-BLOCK = 1 << 12
+#: Shingles whose bits are added at a time: as many as a byte counts.
+BLOCK = 255
+#: Chance at most to miss a pair at 0.8.
+MISS = 1e-6
+#: Share of the bits in which sets at 0.8 differ at most, and in which those of up to SMALL shingles do.
+DIFFER, DIFFER_SMALL, SMALL = 0.1612, 0.1875, 8
+#: Chains of near copies that keep their budget, at least: by calculation 0.97 of those of small sets.
+KEPT = 0.95
+#: Bits of a word of a chain.
+WORD = 64
+#: Nodes of a run that are compared without looking for dense groups, and leaders that look for them.
+DENSE, LEADERS = 1 << 9, 64
+#: Pairs of nodes compared at a time, and candidates of a run held before they shrink.
+STEP, HELD = 1 << 18, 1 << 20
 #: Parts that the rows of a crowded value are dealt to.
 PARTS = 64
 #: Most pivots of a key in a round; more rounds take the rest.
@@ -45,13 +70,34 @@ PIVOTS = 512
 class CopyRules:
     shingle: int = 5
     least: tuple[int, int] = (4, 5)  # the similarity as a fraction, so that the check is one of whole numbers
-    bands: int = 32
-    rows: int = 4
+    bands: int = 76  # segments at least
+    rows: int = 10  # bits of a segment at least
     run_limit: int = 32
+    run_rows: int = 1 << 20
     task_nodes: int = 1 << 12
     task_shingles: int = 1 << 20
 
 
+@dataclass(frozen=True)
+class Ring:
+    """rows: bits of a segment; bands: segments; more: segments of small sets, beyond bands outside the ring."""
+
+    rows: int
+    bands: int
+    more: int
+
+    @property
+    def budgets(self) -> tuple[int, int]:
+        """Bits in which chains of one and of two words after the segment may differ."""
+        return (self.rows + WORD) // 4, (self.rows + 2 * WORD) // 4
+
+
+def ring(rules: CopyRules, nodes: int) -> Ring:
+    rows = max(rules.rows, nodes.bit_length() - 14)
+    bands, more = (max(rules.bands, ceil(log(MISS) / log1p(-KEPT * (1 - share) ** rows))) for share in (DIFFER, DIFFER_SMALL))
+    return Ring(rows, bands, max(bands, more))
+
+
 def shingles(text: str | None, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -72,16 +118,26 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
-def band_keys(found: np.ndarray, rules: CopyRules) -> np.ndarray:
+@cache
+def _lots(words: int) -> tuple[np.ndarray, ...]:
+    """Odd numbers that make words of further hashes from one."""
     rng = np.random.default_rng(SEED)
-    n = rules.bands * rules.rows
-    turn, shift, mix = (rng.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for _ in range(3))
+    return tuple(rng.integers(0, 1 << 64, words, dtype=np.uint64) | np.uint64(1) for _ in range(3))
+
+
+def fingerprint(found: np.ndarray, shape: Ring) -> bytes:
+    """The bits of all segments of a set, eight a byte."""
     if not len(found):
-        return np.empty(0, dtype=np.uint64)
-    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+        return b""
+    bits = shape.rows * (shape.more if len(found) <= SMALL else shape.bands)
+    turn, shift, mix = (v[: -(-bits // WORD)] for v in _lots(-(-shape.rows * shape.more // WORD)))
+    sums = np.zeros(len(turn) * WORD, dtype=np.int64)
     for at in range(0, len(found), BLOCK):
-        np.minimum(least, (turn[:, None] * found[None, at : at + BLOCK] + shift[:, None]).min(axis=1), out=least)
-    return (least * mix).reshape(rules.bands, rules.rows).sum(axis=1, dtype=np.uint64)
+        x = found[at : at + BLOCK, None] * turn + shift
+        x = (x ^ (x >> np.uint64(32))) * mix
+        x ^= x >> np.uint64(29)
+        sums += np.unpackbits(x.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * sums[:bits] > len(found), bitorder="little").tobytes()
 
 
 def alike(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, rules: CopyRules) -> np.ndarray | bool:
@@ -90,10 +146,6 @@ def alike(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, ru
     return shared * (p + q) >= p * (a + b)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
     """The columns of each run of equal first column, of sorted rows."""
     held: tuple[list, ...] = tuple([] for _ in names)
@@ -108,20 +160,161 @@ def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list
         yield held
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, node), at most run_limit of a key, to pairs of nodes (a, b)."""
-    pairs: set[tuple[int, int]] = set()
+def segments(prints: list[bytes], shape: Ring) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, by fingerprint and segment, and the two words that follow each segment round the ring; fingerprints of one length."""
+    own = np.arange(shape.more if 8 * len(prints[0]) >= shape.more * shape.rows else shape.bands)
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    values = bits[:, : len(own) * shape.rows].reshape(len(prints), len(own), shape.rows) @ (1 << np.arange(shape.rows, dtype=np.int64))
+    after = ((own[:, None] + 1) * shape.rows + np.arange(2 * WORD)[None, :]) % (shape.bands * shape.rows)
+    words = np.packbits(bits[:, after], axis=2, bitorder="little").view("<u8")
+    return (own << shape.rows) + values, words
+
 
-    def cut() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
+def _filed(shape: Ring):
+    """(node, print) to (key, node, first, second), a row a segment."""
 
-    for _, nodes in _runs(batches, "key", "node"):
-        pairs.update((a, b) for i, b in enumerate(nodes) for a in nodes[:i])  # nodes come sorted
-        if len(pairs) > 1 << 17:
-            yield cut()
-            pairs.clear()
-    if pairs:
-        yield cut()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints = batch.column("node").to_numpy(zero_copy_only=False), batch.column("print").to_pylist()
+            for size in sorted({len(p) for p in prints} - {0}):
+                at = np.flatnonzero([len(p) == size for p in prints])
+                for some in np.split(at, range(128, len(at), 128)):
+                    keys, words = segments([prints[i] for i in some], shape)
+                    columns = keys.ravel(), np.repeat(nodes[some], keys.shape[1]), *(words[:, :, k].ravel().view(np.int64) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "first", "second"])
+
+    return run
+
+
+def _counted(shape: Ring):
+    """(node, print) to (key, n), the rows of each segment of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _filed(shape)(batches):
+            keys, n = np.unique(batch.column("key").to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    return run
+
+
+def near(a: np.ndarray, b: np.ndarray, budgets: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b, arrays of two words a row, whose chains keep their budgets."""
+    one = np.bitwise_count(a[:, 0][:, None] ^ b[:, 0][None, :])
+    i, j = np.nonzero(one <= budgets[0])
+    ok = one[i, j].astype(np.int64) + np.bitwise_count(a[i, 1] ^ b[j, 1]) <= budgets[1]
+    return i[ok], j[ok]
+
+
+def _large(a: np.ndarray, b: np.ndarray, n: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Root of each of n places that pairs (a, b) join, and whether its group is of more than limit."""
+    root = np.arange(n)
+    roots, members = forest(a, b)
+    root[members] = roots
+    return root, np.bincount(root, minlength=n)[root] > limit
+
+
+def _told(a: np.ndarray, b: np.ndarray, n: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (a, b) of n places, and the group of each place: -1, but for groups of more than limit, whose pairs are left out."""
+    if not len(a):
+        return a, b, np.full(n, -1)
+    root, large = _large(a, b, n, limit)
+    return a[~large[a]], b[~large[a]], np.where(large, root, -1)
+
+
+def short_candidates(runs: np.ndarray, words: np.ndarray, budgets: tuple[int, int], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates of sorted short runs, as ``_told`` gives them; a row meets those before it, nearest first, all rows at a time."""
+    edges = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1], True])
+    before = np.arange(len(runs)) - np.repeat(edges[:-1], np.diff(edges))
+    first, at, all_a, all_b, d = np.ascontiguousarray(words[:, 0]), np.flatnonzero(before), [], [], 1
+    while len(at):
+        ok = at[np.bitwise_count(first[at] ^ first[at - d]) <= budgets[0]]
+        ok = ok[np.bitwise_count(words[ok] ^ words[ok - d]).sum(axis=1, dtype=np.int64) <= budgets[1]]
+        all_a.append(ok)
+        all_b.append(ok - d)
+        d += 1
+        at = at[before[at] >= d]
+    return _told(np.concatenate([*all_a, at]), np.concatenate([*all_b, at]), len(runs), limit)
+
+
+def long_candidates(words: np.ndarray, budgets: tuple[int, int], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates of one long run, as ``_told`` gives them."""
+    n, free, dense = len(words), np.arange(len(words)), []
+    rng = np.random.default_rng(SEED)
+    for _ in range(LEADERS):
+        if len(free) <= DENSE:
+            break
+        leader = rng.choice(free)
+        hits = near(words[leader][None], words[free], budgets)[1]
+        if len(hits) > limit:
+            dense.append(free[hits])
+            free = np.delete(free, hits)
+    order = np.concatenate([*dense, free])
+    ends = np.cumsum([len(d) for d in dense], dtype=np.int64)
+    sorted_words, all_a, all_b, held = words[order], [], [], 0
+    for d in dense:
+        all_a.append(np.full(len(d), d[0]))
+        all_b.append(d)
+    at = 0
+    while at < n:
+        group = int(np.searchsorted(ends, at, side="right"))
+        stop = min(at + max(1, STEP // (n - at)), int(ends[group]) if group < len(dense) else n)
+        begin = int(ends[group]) if group < len(dense) else at
+        i, j = near(sorted_words[at:stop], sorted_words[begin:], budgets)
+        i, j = i + at, j + begin
+        all_a.append(order[i[i < j]])
+        all_b.append(order[j[i < j]])
+        held += len(all_a[-1])
+        if held > HELD:  # those of large groups shrink to a forest
+            a, b = np.concatenate(all_a), np.concatenate(all_b)
+            root, large = _large(a, b, n, limit)
+            many = np.flatnonzero(large)
+            all_a, all_b = [a[~large[a]], root[many]], [b[~large[a]], many]
+            held = 0
+        at = stop
+    return _told(np.concatenate(all_a), np.concatenate(all_b), n, limit)
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs, nodes, first and second words of sorted rows, in pieces of whole runs."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in ("run", "node", "first", "second"))
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        if last or (held and held[0][0][-1] != columns[0][-1]):
+            yield tuple(np.concatenate(c) for c in zip(*held, tuple(c[:last] for c in columns), strict=True))
+            held = []
+        held.append(tuple(c[last:] for c in columns))
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _met(rules: CopyRules, shape: Ring):
+    """Sorted (run, node, first, second) to candidates (null, a, b), and to the nodes (key, a, null) of crowded keys."""
+
+    def told(runs: np.ndarray, nodes: np.ndarray, i: np.ndarray, j: np.ndarray, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(i):
+            a, b = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(a), pa.array(b)], names=["key", "a", "b"])
+        for g in np.unique(groups[groups >= 0]):
+            own = nodes[groups == g]
+            key = xxhash.xxh64_intdigest(f"{runs[g]} {own.min()}", SEED) - (1 << 63)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(own), pa.nulls(len(own), pa.int64())], names=["key", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs, nodes, *words in _whole_runs(batches):
+            both = np.stack(words, axis=1).view(np.uint64)
+            edges = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1], True])
+            size = np.diff(edges)
+            for k in np.flatnonzero(size > DENSE):
+                some = slice(edges[k], edges[k + 1])
+                yield from told(runs[some], nodes[some], *long_candidates(both[some], shape.budgets, rules.run_limit))
+            some = np.repeat((size > 1) & (size <= DENSE), size)
+            if some.any():
+                yield from told(runs[some], nodes[some], *short_candidates(runs[some], both[some], shape.budgets, rules.run_limit))
+
+    return run
 
 
 def _checked(rules: CopyRules):
@@ -214,16 +407,28 @@ def crowded_links(hot: DataFrame, sets: DataFrame, rules: CopyRules) -> DataFram
     return reduce(DataFrame.unionByName, found, held.mapInArrow(_searched(rules), "a long, b long"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, filed: DataFrame, rules: CopyRules) -> DataFrame:
-    """Pairs of nodes (a, b), near copies, that join all that near copies with a common key join.
+def dealt_runs(prints: DataFrame, rules: CopyRules, shape: Ring, nodes: int) -> DataFrame:
+    """(run, node, first, second) of every segment of (node, print); a segment of over run_rows nodes is dealt to parts, and each two parts are a run."""
+    filed = prints.mapInArrow(_filed(shape), "key long, node long, first long, second long")
+    if nodes <= rules.run_rows:
+        return filed.select(F.shiftleft("key", 24).alias("run"), "node", "first", "second")
+    n = prints.mapInArrow(_counted(shape), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > rules.run_rows)
+    parts = written(n.select("key", F.ceil(F.col("n") * 2 / rules.run_rows).alias("parts")), "long_runs")
+    own = filed.join(F.broadcast(parts), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), "parts"), F.lit(0)))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    place = F.least("part", "other") * F.coalesce("parts", F.lit(1)) + F.greatest("part", "other")
+    return other.select((F.shiftleft("key", 24) + place).alias("run"), "node", "first", "second")
+
+
+def links(docs: DataFrame, nodes: DataFrame, prints: DataFrame, rules: CopyRules, shape: Ring, rows: int) -> DataFrame:
+    """Pairs of nodes (a, b), near copies, that join all that near copies among the candidates join.
 
-    docs: (doc_id, text); nodes: (node, first_id), first_id being a document with that set; filed: (node, keys).
+    docs: (doc_id, text), of at most ``rows`` rows; nodes: (node, first_id), first_id being a document with that set; prints: (node, print).
     """
-    keyed = written(filed, "filed").select(F.explode("keys").alias("key"), "node")
-    crowded = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rules.run_limit).select("key"), "crowded")
-    hot = written(keyed.join(crowded, "key", "left_semi"), "hot")
-    short = keyed.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key", "node")
-    pairs = written(short.mapInArrow(_met, "a long, b long").distinct(), "pairs")
+    runs = dealt_runs(written(prints, "prints"), rules, shape, rows).repartition("run").sortWithinPartitions("run")
+    met = written(runs.mapInArrow(_met(rules, shape), "key long, a long, b long"), "met")
+    hot = written(met.where("key is not null").select("key", F.col("a").alias("node")), "hot")
+    pairs = written(met.where("key is null").select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
     texts = docs.join(nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id"), "node"), "doc_id").select("node", "text")
 
@@ -246,22 +451,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     """(doc_id, node, component_id) of every row with an id; component_id is the smallest id of the group of near copies."""
     rules = rules or CopyRules()
     slim = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")).where("doc_id is not null")
+    rows = slim.count()
+    shape = ring(rules, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                nodes, keys = [], []
+                nodes, prints = [], []
                 for text in some.column("text"):
                     found = shingles(text.as_py(), rules.shingle)
                     nodes.append(node_of(found))
-                    keys.append(band_keys(found, rules).view(np.int64))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+                    prints.append(fingerprint(found, shape))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())], names=["doc_id", "node", "print"])
 
-    made = written(slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, node long, keys array<long>"), "shingled")
+    made = written(slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, node long, print binary"), "shingled")
     nodes = written(made.groupBy("node").agg(F.min("doc_id").alias("first_id")), "nodes")
-    filed = made.join(nodes, (made["node"] == nodes["node"]) & (made["doc_id"] == nodes["first_id"])).select(made["node"], "keys").dropDuplicates(["node"])
-    joined = components(links(slim, nodes, filed, rules), "a", "b")
+    prints = made.join(nodes, (made["node"] == nodes["node"]) & (made["doc_id"] == nodes["first_id"])).select(made["node"], "print").dropDuplicates(["node"])
+    joined = components(links(slim, nodes, prints, rules, shape, rows), "a", "b")
     classes = nodes.join(joined.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return made.select("doc_id", "node").join(classes.join(least, "component").select("node", "component_id"), "node").select("doc_id", "node", "component_id")

@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
 from linkscope.llm import nearcopies
 
@@ -70,6 +74,111 @@ def test_crowded_keys_in_rounds_equal_brute_force(spark):
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs, rules=rules).collect()) == firsts(list(enumerate(texts)))
 
 
+def chains(rng, n, groups):
+    """Rows of two words: n drawn by lot, groups of (rows, share of turned bits) round one centre each, and a path of small steps."""
+    bits = [*rng.integers(0, 2, (n, 128))]
+    for size, share in groups:
+        centre = rng.integers(0, 2, 128)
+        bits += [centre ^ (rng.random(128) < share) for _ in range(size)]
+    for _ in range(25):
+        bits.append(bits[-1] ^ np.isin(np.arange(128), rng.choice(128, 12, replace=False)))
+    return np.packbits(np.array(bits, dtype=np.uint8)[rng.permutation(len(bits))], axis=1, bitorder="little").view("<u8")
+
+
+def told(words, budgets, limit):
+    """The candidates by all pairs: those of groups of at most limit, and the members of the others."""
+    near = [(i, j) for i in range(len(words)) for j in range(i) if (d := [(int(x) ^ int(y)).bit_count() for x, y in zip(words[i], words[j])])[0] <= budgets[0] and sum(d) <= budgets[1]]
+    up = list(range(len(words)))
+    for i, j in near:
+        up = [up[j] if x == up[i] else x for x in up]
+    crowded = {i for i, x in enumerate(up) if up.count(x) > limit}
+    return {p for p in near if p[0] not in crowded}, {frozenset(k for k in crowded if up[k] == up[i]) for i in crowded}
+
+
+def as_told(a, b, groups):
+    return {(max(p), min(p)) for p in zip(a.tolist(), b.tolist())}, {frozenset(np.flatnonzero(groups == g).tolist()) for g in set(groups.tolist()) - {-1}}
+
+
+@pytest.mark.parametrize("held", [20, 1 << 20])
+def test_candidates_of_a_run_equal_all_pairs(monkeypatch, held):
+    monkeypatch.setattr(nearcopies, "DENSE", 64)
+    monkeypatch.setattr(nearcopies, "HELD", held)
+    monkeypatch.setattr(nearcopies, "STEP", 5000)
+    words, budgets = chains(np.random.default_rng(1), 250, [(180, 0.05), (40, 0.09), (6, 0.1), (2, 0.1)]), (18, 34)
+    wanted = told(words, budgets, 30)
+    assert len(wanted[0]) > 10 and len(wanted[1]) >= 2
+    assert as_told(*nearcopies.long_candidates(words, budgets, 30)) == wanted
+    assert as_told(*nearcopies.short_candidates(np.zeros(len(words), dtype=np.int64), words, budgets, 30)) == wanted
+
+
+@pytest.mark.parametrize("step", [1, 7, 10_000])
+def test_runs_across_batches(step):
+    """Runs of one row, short ones and one beyond DENSE give the same candidates however they are cut into batches."""
+    rng, rules = np.random.default_rng(2), nearcopies.CopyRules()
+    shape, sizes = nearcopies.ring(rules, 100), [1, 60, 2, 1, nearcopies.DENSE + 40, 30]
+    words = [chains(rng, 0, [(max(0, n - 25), 0.07)])[:n] if n > 25 else chains(rng, n, [])[:n] for n in sizes]
+    wanted, first = set(), 0
+    for w in words:
+        near = told(w, shape.budgets, rules.run_limit)
+        wanted |= {(None, first + b, first + a) for a, b in near[0]} | {(first + min(g), first + k, None) for g in near[1] for k in g}
+        first += len(w)
+    runs, nodes, both = np.repeat(np.arange(len(sizes)), sizes), np.arange(first), np.concatenate(words).view(np.int64)
+    columns = [runs, nodes, both[:, 0], both[:, 1]]
+    batches = (pa.RecordBatch.from_arrays([pa.array(c[at : at + step]) for c in columns], names=["run", "node", "first", "second"]) for at in range(0, first, step))
+    rows = [tuple(r.values()) for b in nearcopies._met(rules, shape)(batches) for r in b.to_pylist()]
+    least = {}
+    for key, a, _ in rows:
+        if key is not None:
+            least[key] = min(a, least.get(key, a))
+    assert {(None if k is None else least[k], a, b) for k, a, b in rows} == wanted and any(k for k, _, _ in wanted)
+
+
+def test_fingerprint_and_its_segments():
+    """Bits are majorities; keys and words are the segments and what follows them round the ring."""
+    shape, rng = nearcopies.ring(nearcopies.CopyRules(), 1000), np.random.default_rng(7)
+    for n in (1, 4, 8, 9, 300, 1000):
+        found = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        singles = [np.unpackbits(np.frombuffer(nearcopies.fingerprint(found[i : i + 1], shape), dtype=np.uint8), bitorder="little") for i in range(n)]
+        own = np.unpackbits(np.frombuffer(nearcopies.fingerprint(found, shape), dtype=np.uint8), bitorder="little")
+        count = shape.more if n <= nearcopies.SMALL else shape.bands
+        assert (own[: count * shape.rows] == (2 * np.sum(singles, axis=0, dtype=np.int64)[: len(own)] > n)[: count * shape.rows]).all()
+        keys, words = nearcopies.segments([nearcopies.fingerprint(found, shape)], shape)
+        assert keys.shape == (1, count)
+        round_ring = np.tile(own[: shape.bands * shape.rows], 3)
+        for k in range(count):
+            assert keys[0, k] == (k << shape.rows) + sum(int(b) << i for i, b in enumerate(own[k * shape.rows : (k + 1) * shape.rows]))
+            after = round_ring[(at := (k + 1) * shape.rows % (shape.bands * shape.rows)) : at + 128]
+            assert [int(w) for w in words[0, k]] == [sum(int(b) << i for i, b in enumerate(after[x : x + 64])) for x in (0, 64)]
+    assert nearcopies.fingerprint(np.empty(0, dtype=np.uint64), shape) == b""
+
+
+@pytest.mark.parametrize("nodes", [1000, 1 << 27])
+def test_sets_at_the_least_similarity_are_candidates(nodes):
+    shape, rng = nearcopies.ring(nearcopies.CopyRules(), nodes), np.random.default_rng(9)
+    assert shape.rows == (10 if nodes == 1000 else 14)
+    for _ in range(300):
+        shared = int(rng.choice([4, 8, 12, 20, 60, 400]))
+        x = rng.integers(0, 1 << 64, shared + shared // 4, dtype=np.uint64)
+        cut = int(rng.integers(0, shared // 4 + 1))
+        sets = np.unique(x[: shared + cut]), np.unique(np.r_[x[:shared], x[shared + cut :]])
+        (ka, wa), (kb, wb) = (nearcopies.segments([nearcopies.fingerprint(s, shape)], shape) for s in sets)
+        both = min(ka.shape[1], kb.shape[1])
+        assert any(len(nearcopies.near(wa[0, [k]], wb[0, [k]], shape.budgets)[0]) for k in np.flatnonzero(ka[0, :both] == kb[0, :both]))
+
+
+def test_runs_dealt_to_parts_equal_brute_force(spark):
+    """Runs of over run_rows nodes lose no pair, nor do crowded keys in them."""
+    rng, texts = random.Random(8), []
+    for size in (70, 2, 2, 3, 2):
+        words = [f"w{rng.randrange(4000)}" for _ in range(150)]
+        texts += [changed(rng, words, rng.randint(1, 3)) for _ in range(size)]
+    texts += [" ".join(f"w{rng.randrange(4000)}" for _ in range(80)) for _ in range(60)]
+    rng.shuffle(texts)
+    rules = nearcopies.CopyRules(rows=4, run_rows=8, run_limit=6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs, rules=rules).collect()) == firsts(list(enumerate(texts)))
+
+
 def test_tree_joins_what_pairs_join():
     rng, rules = random.Random(5), nearcopies.CopyRules()
     words = [f"w{i}" for i in range(150)]
