@@ -19,8 +19,8 @@ Crowded keys are settled in rounds. A round picks some of a key's nodes as pivot
 nodes with them, and joins the groups that near copies connect. A pivot has then met every node of the key and leaves it, so a key is done
 once the nodes left in it are of one group: a group of near copies of any size takes few pivots. The rows of a key are dealt to ``PARTS``
 parts, and each round has twice the pivots of the one before. A key whose nodes left hold at most ``task_nodes`` sets and ``task_shingles``
-shingles goes to one task, which searches them breadth first. Every pair of near copies among the candidates so ends in one group, and no
-task holds a run or a key beyond these bounds.
+shingles is searched breadth first by one task, and keys with common nodes by one task together if that is less work (``units``). Every pair
+of near copies among the candidates so ends in one group, and no task holds a run or a key beyond these bounds.
 
 Defined results: words are parted by ASCII white space and compared in ASCII lower case; a text of fewer words than a shingle is one shingle;
 null, empty and wordless texts have the empty set, and are copies of each other; repeated rows are copies; ``groups`` leaves out
@@ -64,6 +64,8 @@ STEP, HELD = 1 << 18, 1 << 20
 PARTS = 64
 #: Most pivots of a key in a round; more rounds take the rest.
 PIVOTS = 512
+#: Parts of a large cluster for each task's bound that it fills: two make a unit, with room for uneven ones.
+ROOM = 2.2
 
 
 @dataclass(frozen=True)
@@ -333,34 +335,51 @@ def _checked(rules: CopyRules):
     return run
 
 
+def _spans(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of n from each start on, one after another."""
+    return np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+
+
 def tree(sets: list[np.ndarray], rules: CopyRules) -> list[tuple[int, int]]:
-    """Places of sets that are near copies, as many pairs as join all that such pairs join."""
+    """Places of sets that are near copies, as many pairs as join all that such pairs join.
+
+    A near copy lacks at most ``spare`` shingles of a set, so it holds one of any spare + 1; the rarest ones find those worth comparing.
+    """
+    p, q = rules.least
     sizes, found = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets)), []
-    flat, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    left, waiting = np.ones(len(sets), dtype=bool), []
+    begin, ids = np.cumsum(sizes) - sizes, np.unique(np.concatenate(sets), return_inverse=True)[1]
+    often = np.bincount(ids)
+    holders, first = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")], np.cumsum(often) - often
+    left, mine = np.ones(len(sets), dtype=bool), np.zeros(len(often), dtype=bool)
     for seed in range(len(sets)):
         if not left[seed]:
             continue
         left[seed], waiting = False, [seed]
-        while waiting and left.any():
+        while waiting:
             at = waiting.pop()
-            own = sets[at]
-            shared = np.bincount(rows[own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat], minlength=len(sets))
-            near = np.flatnonzero(left & alike(shared, sizes[at], sizes, rules))
-            if len(near):
-                left[near] = False
-                found += [(at, int(x)) for x in near]
-                waiting += near.tolist()
-                stay = left[rows]
-                flat, rows = flat[stay], rows[stay]
+            own = ids[begin[at] : begin[at] + sizes[at]]
+            spare = len(own) * (q - p) // q
+            rare = own[np.argpartition(often[own], spare)[: spare + 1]]
+            maybe = holders[_spans(first[rare], often[rare])]
+            maybe = np.unique(maybe[left[maybe]])
+            maybe = maybe[alike(np.minimum(sizes[at], sizes[maybe]), sizes[at], sizes[maybe], rules)]
+            if not len(maybe):
+                continue
+            mine[own] = True
+            shared = np.add.reduceat(mine[ids[_spans(begin[maybe], sizes[maybe])]], np.cumsum(sizes[maybe]) - sizes[maybe], dtype=np.int64)
+            mine[own] = False
+            near = maybe[alike(shared, sizes[at], sizes[maybe], rules)]
+            left[near] = False
+            found += [(at, int(x)) for x in near]
+            waiting += near.tolist()
     return found
 
 
 def _searched(rules: CopyRules):
-    """Sorted (key, node, set) to pairs of nodes that are near copies."""
+    """Sorted (unit, node, set) to pairs of nodes that are near copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, nodes, sets in _runs(batches, "key", "node", "set"):
+        for _, nodes, sets in _runs(batches, "unit", "node", "set"):
             pairs = tree([np.frombuffer(s, dtype=np.uint64) for s in sets], rules)
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i[k]] for i in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -374,20 +393,63 @@ def _dealt(many: DataFrame, few: DataFrame, on: str, by: str, how: str = "inner"
     return many.withColumn("part", part).join(copied, [on, "part"], how).drop("part")
 
 
+def _pivoted(rules: CopyRules, shape: Ring):
+    """What ``_met`` gives, and the smallest node of each crowded key as its pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _met(rules, shape)(batches):  # a crowded key is one batch
+            crowded = batch.column("key").null_count == 0
+            pivot = pa.array(np.full(batch.num_rows, batch.column("a").to_numpy().min())) if crowded else pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pivot], names=["key", "a", "b", "pivot"])
+
+    return run
+
+
+def units(small: DataFrame, rules: CopyRules) -> DataFrame:
+    """(unit, node): any two nodes with a common key of small are together in a unit, which is one task's work.
+
+    small: (key, pivot, node, size), of keys that a task holds. Texts of one kind are neighbours under many keys; a node would go to a task for
+    each of them. So keys with common nodes make a cluster, and each node belongs to one. A cluster that a task holds is a unit. A larger one is
+    dealt to parts, and each two parts are a unit. Where that would be more rows or more pairs than the keys have, the keys stay units.
+    """
+    own = written(small.groupBy("node").agg(F.first("size").alias("size"), F.collect_set("pivot").alias("pivots")).withColumn("low", F.array_min("pivots")), "own")
+    joined = components(own.select("low", F.explode("pivots").alias("pivot")), "low", "pivot")
+    cluster = written(joined.select(F.col("id").alias("pivot"), F.col("component").alias("cluster")), "clusters")
+    nodes = own.select("node", "size", F.col("low").alias("pivot")).join(cluster, "pivot", "left").select("node", "size", F.coalesce("cluster", "pivot").alias("cluster"))
+    nodes = written(nodes, "clustered")
+    keys = small.groupBy("key", "pivot").agg(F.count("*").alias("n")).groupBy("pivot").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    cost = keys.join(cluster, "pivot", "left").groupBy(F.coalesce("cluster", "pivot").alias("cluster")).agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs"))
+    fill = F.greatest(F.col("n") / rules.task_nodes, F.col("total") / rules.task_shingles)
+    parts = F.when(fill <= 1, 1).otherwise(F.ceil(fill * ROOM) + 1).cast("bigint")
+    told = nodes.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("total")).withColumn("parts", parts).join(cost, "cluster")
+    whole = (F.col("n") * F.greatest(F.lit(1), F.col("parts") - 1) <= F.col("rows")) & (F.col("n") * F.col("n") <= F.col("pairs"))
+    told = written(told.select("cluster", "parts", whole.alias("whole")), "told")
+    dealt = nodes.join(F.broadcast(told.where("whole")), "cluster").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    other = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), F.col("part")))
+    dealt = dealt.withColumn("other", F.explode(other))
+    made = dealt.select(F.xxhash64("cluster", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "node")
+    split = told.where("not whole")
+    if split.isEmpty():
+        return made
+    kept = split.select("cluster").join(cluster, "cluster", "left").select(F.coalesce("pivot", "cluster").alias("pivot"))
+    return made.unionByName(small.join(kept, "pivot", "left_semi").select(F.col("key").alias("unit"), "node"))
+
+
 def crowded_links(hot: DataFrame, sets: DataFrame, rules: CopyRules) -> DataFrame:
     """Pairs of nodes (a, b), near copies, that join all that near copies with a common key of hot join.
 
-    hot: (key, node); sets: (node, size, set).
+    hot: (key, pivot, node), a pivot being one of the key's nodes; sets: (node, size, set).
     """
     p, q = rules.least
     set_a, set_b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    left = written(hot.join(sets.select("node", "size"), "node").select("key", "node", "size", F.col("node").alias("label")), "left")
+    own = hot.groupBy("node").agg(F.collect_list(F.struct("key", "pivot")).alias("keys")).join(sets.select("node", "size"), "node")
+    left = written(own.select("node", "size", F.explode("keys").alias("k")).select("k.key", "k.pivot", "node", "size", F.col("node").alias("label")), "left")
     found, small, pivots = [], [], 1
     while True:
         sums = left.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"))
         large = (F.col("n") > rules.task_nodes) | (F.col("total") > rules.task_shingles)
         keys = written(sums.where("low < high").select("key", large.alias("large")), "open_keys")
-        small.append(left.join(keys.where("not large"), "key", "left_semi").select("key", "node"))
+        small.append(left.join(keys.where("not large"), "key", "left_semi").select("key", "pivot", "node", "size"))
         if keys.where("large").isEmpty():
             break
         over = written(_dealt(left, keys.where("large").select("key"), "key", "node"), "over")
@@ -401,9 +463,9 @@ def crowded_links(hot: DataFrame, sets: DataFrame, rules: CopyRules) -> DataFram
         found.append(near.select("a", "b"))
         merged = components(near, "label", "label_b").select(F.col("id").alias("label"), "component")
         rest = over.join(picked.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
-        left = written(_dealt(rest, merged, "label", "node", "left").select("key", "node", "size", F.coalesce("component", "label").alias("label")), "left")
+        left = written(_dealt(rest, merged, "label", "node", "left").select("key", "pivot", "node", "size", F.coalesce("component", "label").alias("label")), "left")
         pivots = min(2 * pivots, PIVOTS)
-    held = reduce(DataFrame.unionByName, small).join(sets.select("node", "set"), "node").repartition("key").sortWithinPartitions("key", "node")
+    held = units(written(reduce(DataFrame.unionByName, small), "small"), rules).join(sets.select("node", "set"), "node").repartition("unit").sortWithinPartitions("unit", "node")
     return reduce(DataFrame.unionByName, found, held.mapInArrow(_searched(rules), "a long, b long"))
 
 
@@ -426,8 +488,8 @@ def links(docs: DataFrame, nodes: DataFrame, prints: DataFrame, rules: CopyRules
     docs: (doc_id, text), of at most ``rows`` rows; nodes: (node, first_id), first_id being a document with that set; prints: (node, print).
     """
     runs = dealt_runs(written(prints, "prints"), rules, shape, rows).repartition("run").sortWithinPartitions("run")
-    met = written(runs.mapInArrow(_met(rules, shape), "key long, a long, b long"), "met")
-    hot = written(met.where("key is not null").select("key", F.col("a").alias("node")), "hot")
+    met = written(runs.mapInArrow(_pivoted(rules, shape), "key long, a long, b long, pivot long"), "met")
+    hot = written(met.where("key is not null").select("key", "pivot", F.col("a").alias("node")), "hot")
     pairs = written(met.where("key is null").select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
     texts = docs.join(nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id"), "node"), "doc_id").select("node", "text")

@@ -191,6 +191,42 @@ def test_tree_joins_what_pairs_join():
     assert len(set(up)) == len(firsts(list(enumerate(texts))))
 
 
+def test_a_set_goes_to_its_task_once(spark, monkeypatch):
+    """Sets that meet under many keys go to one task together, not to a task for each key."""
+
+    def searched(rules):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("node")] * 2, names=["a", "b"])
+
+        return run
+
+    rng, sets = random.Random(3), np.random.default_rng(3).integers(0, 1 << 64, (60, 20), dtype=np.uint64)
+    keys = {k: rng.sample(range(60), 40) for k in range(30)}
+    hot = spark.createDataFrame([(k, min(own), n) for k, own in keys.items() for n in own], "key long, pivot long, node long")
+    made = spark.createDataFrame([(n, 20, np.sort(x).tobytes()) for n, x in enumerate(sets)], "node long, size long, set binary")
+    monkeypatch.setattr(nearcopies, "_searched", searched)
+    assert sorted(r.a for r in nearcopies.crowded_links(hot, made, nearcopies.CopyRules()).collect()) == list(range(60))
+
+
+def test_units_hold_the_pairs_of_keys(spark):
+    """A cluster that a task holds, one that is dealt to parts, and one whose keys have little in common and so stay units."""
+    rng = random.Random(12)
+    keys = [rng.sample(range(20), 9) for _ in range(12)]
+    keys += [rng.sample(range(100, 160), 12) for _ in range(60)]
+    keys += [list(range(200 + 7 * k, 208 + 7 * k)) for k in range(20)]
+    small = spark.createDataFrame([(k, min(own), n, 5) for k, own in enumerate(keys) for n in own], "key long, pivot long, node long, size long")
+    got = {}
+    for unit, node in nearcopies.units(small, nearcopies.CopyRules(task_nodes=30, task_shingles=1000)).collect():
+        got.setdefault(unit, []).append(node)
+    assert all(len(v) == len(set(v)) <= 30 for v in got.values())
+    pairs = {(a, b) for own in got.values() for a in own for b in own}
+    assert all((a, b) in pairs for own in keys for a in own for b in own)
+    assert [sorted(v) for v in got.values() if min(v) < 100] == [sorted({n for own in keys[:12] for n in own})]
+    assert sum(len(v) for v in got.values() if 100 <= min(v) < 200) <= 60 * 5 < 60 * 12
+    assert sorted(sorted(v) for v in got.values() if min(v) >= 200) == keys[72:]
+
+
 def test_stages_of_odd_rows(spark):
     """Nulls in every column, empty and long texts, ties, repeated rows, clashing names and empty tables go through every stage."""
     row = "doc_id long, text string, lang string, source string, n_chars long, kept_row int, mark string, keys string"
