@@ -1,9 +1,13 @@
-"""Text vectors: tokens, document frequencies, TF-IDF weights, cosines. Native throughout."""
+"""Text vectors: tokens, document frequencies, TF-IDF weights, cosines. Terms are counted natively, within their document's row."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +24,41 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often a lambda inside refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _counted(tokens: Column) -> Column:
+    """The distinct tokens of a row in their order and how often each occurs, without leaving the row; the row has at least one token."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        counts = lambda at: F.transform(at, lambda p, k: F.coalesce(F.get(at, k + 1), F.size(s)) - p)
+        return _held(starts, lambda at: F.struct(F.transform(at, lambda p: F.get(s, p)).alias("terms"), counts(at).alias("tf")))
+
+    return _held(F.sort_array(tokens), runs)
+
+
+def bags(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, tokens. doc_id, n (its tokens) and bag: its distinct terms and their counts, two arrays.
+
+    Rows are counted where they are. Only rows that share an id are shuffled: those of one length are one bag. Rows without tokens have none.
+    """
+    full = docs.where(F.size("tokens") > 0)
+    one = lambda df: df.select("doc_id", F.size("tokens").alias("n"), _counted(F.col("tokens")).alias("bag"))
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select(F.col("doc_id").alias("again"))
+    if repeated.isEmpty():
+        return one(full)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    rows = full.join(repeated, same, "left_semi").select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    met = rows.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf")))).alias("b"))
+    return one(full.join(repeated, same, "left_anti")).unionByName(met.select("doc_id", "n", F.struct(F.col("b.term").alias("terms"), F.col("b.tf").alias("tf")).alias("bag")))
+
+
 def term_frequency(docs: DataFrame) -> DataFrame:
     """docs: doc_id, tokens. The tokens of a document are counted with its number of tokens beside them."""
-    return docs.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    return bags(docs).select("doc_id", "n", F.inline(F.arrays_zip("bag.terms", "bag.tf")).alias("term", "tf")).withColumn("tf", F.col("tf").cast("long"))
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -35,21 +71,70 @@ def idf(df: Column, n_docs: int | Column) -> Column:
     return F.log((1 + n).cast("double") / (1 + df).cast("double")) + 1.0
 
 
+#: Terms that at least this share of the documents hold are looked up where the document is, up to MAX_FREQUENT of them; the rest meet their frequency by join.
+FREQUENT, MAX_FREQUENT = 8e-5, 400_000
+
+
+def frequent_terms(df: DataFrame, n_docs: int) -> tuple[int, pa.Table]:
+    """The least frequency that is looked up, and the terms that have it. It is raised until they are few, so the list does not grow with the table."""
+    least = max(2, int(n_docs * FREQUENT))
+    while (listed := df.where(F.col("df") >= least).limit(MAX_FREQUENT + 1).toArrow()).num_rows > MAX_FREQUENT:
+        least *= 2
+    return least, listed
+
+
 def weights(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
-    """doc_id, term, tf, df, weight. Frequent terms make hot keys in the join, which adaptive execution splits."""
+    """doc_id, n, n_docs and entries: an array of (term, tf, df, weight).
+
+    A document's frequent terms come in one row, where they were counted; each of the others comes in a row of its own. So only rare terms
+    are rows of a shuffle, and a frequent one is no key of a join.
+    """
     n_docs = docs.count() if n_docs is None else n_docs
-    tf, df = term_frequency(docs), document_frequency(docs)
-    return tf.join(df, "term").select("doc_id", "term", "tf", "df", ((F.col("tf").cast("double") / F.col("n").cast("double")) * idf(F.col("df"), n_docs)).alias("weight"))
+    frequencies = document_frequency(docs)
+    least, listed = frequent_terms(frequencies, n_docs)
+    vocabulary, known_df = listed.column("term").combine_chunks(), listed.column("df").combine_chunks()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            bag = batch.column("bag")
+            terms, tf = bag.field("terms"), bag.field("tf")
+            found = pc.fill_null(known_df.take(pc.index_in(terms.flatten(), value_set=vocabulary)), 0)
+            lists = [pa.ListArray.from_arrays(terms.offsets, x) for x in (terms.values, tf.values, found)] if terms.offset == 0 and len(terms.values) == len(found) == len(tf.values) else None
+            if lists is None:  # a slice of a longer batch: offsets anew
+                offsets = pa.array([0, *pc.cumulative_sum(pc.list_value_length(terms)).to_pylist()], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (terms.flatten(), tf.flatten(), found)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), *lists], names=["doc_id", "n", "terms", "tf", "df"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    told = bags(docs).mapInArrow(look_up, f"doc_id {kind}, n int, terms array<string>, tf array<int>, df array<long>")
+    entry = lambda term, tf, df: F.struct(term.alias("term"), tf.cast("long").alias("tf"), df.alias("df"), ((tf.cast("double") / F.col("n").cast("double")) * idf(df, n_docs)).alias("weight"))
+    all_terms = F.arrays_zip("terms", "tf", "df")
+    known = told.select("doc_id", "n", F.lit(n_docs).cast("long").alias("n_docs"), F.transform(F.filter(all_terms, lambda x: x["df"] > 0), lambda x: entry(x["terms"], x["tf"], x["df"])).alias("entries"))
+    rare = told.select("doc_id", "n", F.inline(F.filter(all_terms, lambda x: x["df"] == 0)).alias("term", "tf", "no_df")).drop("no_df")
+    met = rare.join(frequencies.where(F.col("df") < least), "term")
+    return known.unionByName(met.select("doc_id", "n", F.lit(n_docs).cast("long").alias("n_docs"), F.array(entry(F.col("term"), F.col("tf"), F.col("df"))).alias("entries")))
 
 
 def top_terms(weighted: DataFrame, k: int = 8) -> DataFrame:
+    """Each row gives its own k best at most, so that few terms of a document are shuffled."""
+    ranked = F.sort_array(F.transform("entries", lambda x: F.struct((-F.round(x["weight"], 12)).alias("least"), x["term"].alias("term"), x["tf"].alias("tf"), x["df"].alias("df"), x["weight"].alias("weight"))))
+    own = weighted.select("doc_id", F.inline(F.slice(ranked, 1, k))).drop("least")
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 12)), "term")
-    return weighted.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+    return own.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
 def vectors(weighted: DataFrame) -> DataFrame:
-    """A row a document: its terms with their weights, and the length of that vector."""
-    return weighted.groupBy("doc_id").agg(F.collect_list(F.struct("term", F.col("weight").alias("w"))).alias("vector"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    """A row a document: parts of its vector, each of so many tokens, the terms as a string without the weights, which follow from the rest."""
+    part = F.struct("n", "n_docs", F.array_join("entries.term", " ").alias("terms"), F.transform("entries.tf", lambda x: x.cast("int")).alias("tf"), F.col("entries.df").alias("df"))
+    return weighted.where("doc_id is not null and size(entries) > 0").select("doc_id", part.alias("part")).groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+
+
+def unpacked(parts: Column) -> Column:
+    """The vector whose parts these are: an array of (term, w)."""
+    entry = lambda p: lambda x: F.struct(x["0"].alias("term"), ((x["tf"].cast("double") / p["n"].cast("double")) * idf(x["df"], p["n_docs"])).alias("w"))
+    return F.flatten(F.transform(parts, lambda p: F.transform(F.arrays_zip(F.split(p["terms"], " "), p["tf"], p["df"]), entry(p))))
 
 
 def dot(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -62,26 +147,69 @@ def dot(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
 def cosine(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
     """pairs: (a, b) of documents. 0 where they share no term, 1 at most. Vectors meet by document, so no term is a key of a join."""
     made = vectors(weighted)
-    side = lambda x: made.select(F.col("doc_id").alias(x), F.col("vector").alias(f"v{x}"), F.col("norm").alias(f"n{x}"))
-    met = dot(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left"), "va", "vb", "dot")
+    side = lambda x: made.select(F.col("doc_id").alias(x), F.col("parts").alias(f"p{x}"))
+    wide = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({"va": unpacked(F.col("pa")), "vb": unpacked(F.col("pb"))}).drop("pa", "pb")
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x["w"] * x["w"]))
+    met = dot(wide, "va", "vb", "dot").withColumns({"na": norm("va"), "nb": norm("vb")})
     value = F.when(F.coalesce(F.col("dot"), F.lit(0.0)) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("dot") / (F.col("na") * F.col("nb"))))
     return met.select("a", "b", value.alias("cosine"))
 
 
+def _pool_cosines(source: object, pool: int, members: list[dict]) -> Iterator[tuple[object, float]]:
+    """Cosine of a source with each of its targets, by frequencies within the pool."""
+    df, held = Counter(), {}
+    for m in members:
+        df.update(m["terms"])
+        held.setdefault(m["doc_id"], {})[m["n"], m["mark"]] = m
+    inverse = {d: math.log((1 + pool) / (1 + d)) + 1.0 for d in set(df.values())}
+
+    def vector(rows: dict) -> tuple[dict[str, float], float]:
+        counts: dict[int, Counter] = {}
+        for (n, _), m in rows.items():
+            counts.setdefault(n, Counter()).update(dict(zip(m["terms"], m["tf"], strict=True)))
+        weights, squares = {}, 0.0
+        for n, tf in counts.items():
+            for term, c in tf.items():
+                w = c / n * inverse[df[term]]
+                weights[term] = weights.get(term, 0.0) + w
+                squares += w * w
+        return weights, math.sqrt(squares)
+
+    if source not in held:
+        return
+    own, norm = vector(held.pop(source))
+    for target, rows in held.items():
+        other, length = vector(rows)
+        dot = sum(w * own[t] for t, w in other.items() if t in own)
+        if dot:
+            yield target, min(1.0, dot / (norm * length))
+
+
 def batch_scores(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs: (source, target). Cosines with frequencies counted over each source and its targets, a target once for each pair."""
-    members = pairs.select("source", F.col("target").alias("doc_id")).unionByName(pairs.select("source", F.col("source").alias("doc_id")).distinct())
-    sized = members.groupBy("source").agg(F.count("*").alias("pool"))
-    held = members.join(docs, "doc_id")
-    df = held.select("source", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("source", "term").agg(F.count("*").alias("df"))
-    tf = held.distinct().select("source", "doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term")).groupBy("source", "doc_id", "n", "term").agg(F.count("*").alias("tf"))
-    weighted = tf.join(df, ["source", "term"]).join(sized, "source").select("source", "doc_id", "term", ((F.col("tf").cast("double") / F.col("n").cast("double")) * idf(F.col("df"), F.col("pool"))).alias("w"))
-    norms = weighted.groupBy("source", "doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    own = weighted.where("doc_id = source").select("source", "term", F.col("w").alias("ws"))
-    dots = weighted.where("doc_id != source").join(own, ["source", "term"]).groupBy("source", F.col("doc_id").alias("target")).agg(F.sum(F.col("w") * F.col("ws")).alias("dot"))
-    ns, nt = norms.where("doc_id = source").select("source", F.col("norm").alias("ns")), norms.select("source", F.col("doc_id").alias("target"), F.col("norm").alias("nt"))
-    met = pairs.join(dots, ["source", "target"], "left").join(ns, "source", "left").join(nt, ["source", "target"], "left")
-    return met.select("source", "target", F.when(F.coalesce(F.col("dot"), F.lit(0.0)) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("dot") / (F.col("ns") * F.col("nt")))).alias("cosine"))
+    """pairs: (source, target). Cosines with frequencies counted over each source and its targets, a target once for each pair.
+
+    A source's documents meet in one row as bags of words, so one task holds the pool of one source at a time. No single term is shuffled.
+    """
+    members = pairs.select("source", F.col("target").alias("doc_id")).unionByName(pairs.select("source", F.col("source").alias("doc_id")).distinct()).where("source is not null")
+    sized = members.join(members.groupBy("source").agg(F.count("*").alias("pool")), "source")
+    marked = docs.where("doc_id is not null and size(tokens) > 0").select("doc_id", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("mark"), _counted(F.col("tokens")).alias("bag"))
+    # Words have no spaces: a string of them is shuffled in fewer bytes than an array.
+    packed = marked.select("doc_id", "n", "mark", F.array_join("bag.terms", " ").alias("terms"), F.col("bag.tf").alias("tf"))
+    met = sized.join(packed, "doc_id").groupBy("source").agg(F.max("pool").alias("pool"), F.collect_list(F.struct("doc_id", "n", "mark", "terms", "tf")).alias("members"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for source, pool, members in zip(*(batch.column(c) for c in ("source", "pool", "members")), strict=True):
+                rows = [m | {"terms": m["terms"].split(" ")} for m in members.as_py()]
+                key = source.as_py()
+                out += [(key, t, c) for t, c in _pool_cosines(key, pool.as_py(), rows)]
+            kind = batch.schema.field("source").type
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind), pa.array([o[2] for o in out], pa.float64())], names=["source", "target", "cosine"])
+
+    kind = dict(pairs.dtypes)["source"]
+    found = met.mapInArrow(score, f"source {kind}, target {kind}, cosine double")
+    return pairs.join(found, ["source", "target"], "left").select("source", "target", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
 def word_count(text: Column) -> Column:
