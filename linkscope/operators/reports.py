@@ -55,10 +55,12 @@ def broken_links(links: DataFrame, posts: DataFrame, files: DataFrame | None = N
     source = posts.select(F.col("id").alias("source_post_id"), F.col("title").alias("source_title"))
     target = posts.select(F.col("id").alias("t_id"), F.col("title").alias("target_title"), F.col("status").alias("t_status"), F.col("type").alias("t_type"), F.col("parent_id").alias("t_parent"))
     parent = posts.select(F.col("id").alias("p_id"), F.col("status").alias("p_status"))
-    met = links.join(source, "source_post_id").join(target, F.col("target_post_id") == F.col("t_id"), "left")
-    # Most targets are plain published posts: they go before the second join.
+    # Parents are joined to the few posts that have one. In a join with links, all that lead to a post without one, or to none, would have one key.
+    child = F.coalesce(F.col("t_parent") > 0, F.lit(False))
+    alone = target.where(~child).select("*", F.lit(None).cast("long").alias("p_id"), F.lit(None).cast("string").alias("p_status"))
+    targets = target.where(child).join(parent, F.col("p_id") == F.col("t_parent"), "left").unionByName(alone)
+    met = links.join(source, "source_post_id").join(targets, F.col("target_post_id") == F.col("t_id"), "left")
     met = met.where(F.col("t_id").isNull() | ~F.col("t_status").isin("publish", "private"))
-    met = met.join(parent, (F.col("t_parent") > 0) & (F.col("p_id") == F.col("t_parent")), "left")
     inherits = (F.col("t_status") == "inherit") & (F.col("t_type") == "attachment")
     seen = inherits & ((F.coalesce(F.col("t_parent"), F.lit(0)) == 0) | F.col("p_id").isNull() | F.col("p_status").isin("publish", "private"))
     found = met.where(~F.coalesce(seen, F.lit(False)))
